@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chronolith.llm import percentiles, repeats
+from chronolith.llm import leaks, percentiles, prefix_bpe, repeats
 from chronolith.session import utc
 
 
@@ -49,6 +51,17 @@ def p3_combined(spark: SparkSession, d: str) -> DataFrame:
     return percentiles.combine(percentiles.summaries(v, ["tid", "day"]), ["tid"])
 
 
+def p8_ids(spark: SparkSession, d: str) -> DataFrame:
+    """Token ids of every document."""
+    where = os.environ.get("CHRONOLITH_TOKENIZERS", "/opt/tokenizers")
+    return prefix_bpe.encode_corpus(table(spark, d, "documents"), f"{where}/byte_bpe_50k.tiktoken")
+
+
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    """Documents with passages of evaluation items."""
+    return leaks.leaks(table(spark, d, "documents"), table(spark, d, "eval_item"))
+
+
 ONCE = """once as (select tid, epoch_ms(timestamp) ts_ms, max(case when not isnan(value) then value end) v
  from data_point where tid is not null and timestamp is not null group by 1, 2)"""
 
@@ -66,6 +79,7 @@ def percentile_sql(keys: str, frm: str) -> str:
 QUERIES = {
     "p2_found": p2_found, "p2_collapsed": p2_collapsed,
     "p3_percentiles": p3_percentiles, "p3_by_measure": p3_by_measure, "p3_by_day": p3_by_day, "p3_combined": p3_combined,
+    "p8_ids": p8_ids, "p9_found": p9_found,
 }
 
 SQL = {
