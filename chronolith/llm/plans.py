@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chronolith.llm import leaks, percentiles, prefix_bpe, repeats
+from chronolith.llm import garbled, leaks, percentiles, prefix_bpe, repeats
 from chronolith.session import utc
 
 
@@ -62,6 +62,16 @@ def p9_found(spark: SparkSession, d: str) -> DataFrame:
     return leaks.leaks(table(spark, d, "documents"), table(spark, d, "eval_item"))
 
 
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    """Documents with wrongly decoded characters."""
+    return garbled.garbled(table(spark, d, "documents")).select("doc_id")
+
+
+def p10_restored(spark: SparkSession, d: str) -> DataFrame:
+    """The same with their texts put right as far as possible."""
+    return garbled.garbled(table(spark, d, "documents"))
+
+
 ONCE = """once as (select tid, epoch_ms(timestamp) ts_ms, max(case when not isnan(value) then value end) v
  from data_point where tid is not null and timestamp is not null group by 1, 2)"""
 
@@ -79,7 +89,7 @@ def percentile_sql(keys: str, frm: str) -> str:
 QUERIES = {
     "p2_found": p2_found, "p2_collapsed": p2_collapsed,
     "p3_percentiles": p3_percentiles, "p3_by_measure": p3_by_measure, "p3_by_day": p3_by_day, "p3_combined": p3_combined,
-    "p8_ids": p8_ids, "p9_found": p9_found,
+    "p8_ids": p8_ids, "p9_found": p9_found, "p10_found": p10_found, "p10_restored": p10_restored,
 }
 
 SQL = {
