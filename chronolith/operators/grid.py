@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from chronolith.operators.readings import BUCKET_MS, readings, running_sums, with_carry
+from chronolith.operators.readings import BUCKET_MS, readings, running_sums, with_carry, with_source
 
 DAY_MS = 86_400_000
 #: Periods of the harmonics: a day, half a day, a week.
@@ -114,7 +114,8 @@ def regular(df: DataFrame, series: DataFrame, segments: DataFrame, max_gap_ms: i
     and gives no rows. ``missing_only`` leaves out the observed slots.
     """
     step = series.where("tid is not null and sampling_interval > 0").groupBy("tid").agg(F.max("sampling_interval").cast("long").alias("si"))
-    rows = readings(df, "tid", "timestamp", "value", bucket_ms).where("v is not null").join(step, "tid")
+    rows = readings(df, "tid", "timestamp", "value", bucket_ms).where("v is not null")
+    rows = with_source(rows, step, "tid")
     rows = rows.withColumn("slot_ms", F.floor(F.col("ts_ms") / F.col("si")) * F.col("si"))
     at = rows.groupBy("tid", "slot_ms", "si").agg(F.avg(F.col("v").cast("double")).alias("value"), F.min("ts_ms").alias("t0"), F.max("ts_ms").alias("t1"))
     at = at.withColumn("b", F.floor(F.col("slot_ms") / F.lit(bucket_ms)).cast("int")).repartition("tid", "b")

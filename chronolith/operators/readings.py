@@ -7,7 +7,7 @@ row per bucket, and only those summaries are ordered per key.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from chronolith.session import millis
@@ -38,7 +38,7 @@ def with_carry(rows: DataFrame, key: str, order: str, carry: list[str]) -> DataF
     and is placed by (key, b)."""
     w = Window.partitionBy(key, "b").orderBy(order)
     per_key = Window.partitionBy(key).orderBy("b")
-    what = F.struct(*carry)
+    what = F.struct(*(carry or [order]))
     inside = rows.withColumn("_n", F.row_number().over(w)).withColumn("_p", F.lag(what).over(w))
     ends = rows.groupBy(key, "b").agg(F.count(F.lit(1)).alias("_c"), F.max_by(what, F.col(order)).alias("_last"))
     ends = ends.select(
@@ -67,5 +67,12 @@ def running_sums(rows: DataFrame, key: str, order: list, cols: list[str]) -> Dat
     return joined.select(*[(F.col(c) + F.col(f"_{c}")).alias(c) if c in cols else joined[c] for c in rows.columns])
 
 
-def usable(col: str = "v") -> Column:
-    return F.col(col).isNotNull()
+#: Rows of a per-source table that are sent to every executor at most (tens of MB).
+BROADCAST_ROWS = 500_000
+
+
+def with_source(rows: DataFrame, per_source: DataFrame, key: str, how: str = "inner") -> DataFrame:
+    """Joins a table of one row a source. It is counted first: up to BROADCAST_ROWS it is broadcast, so that a hot source
+    isn't shuffled; beyond that the join is left to the planner, which splits skewed partitions."""
+    small = per_source.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    return rows.join(F.broadcast(per_source) if small else per_source, key, how)

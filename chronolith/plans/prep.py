@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chronolith.operators import compaction, grid, intervals, rolling
+from chronolith.operators import compaction, grid, intervals, rolling, spikes
 from chronolith.session import millis, shared_dir, utc
 
 
@@ -29,6 +29,15 @@ def p1_compacted(spark: SparkSession, d: str) -> DataFrame:
     return r.select("gid", millis("start_time").alias("start_ms"), millis("end_time").alias("end_ms"), "mtid", F.lower(F.hex("model")).alias("model_hex"), F.lower(F.hex("gaps")).alias("gaps_hex"))
 
 
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    """Implausible readings."""
+    return p4_flags(spark, d).select("tid", "ts_ms")
+
+
+def p4_flags(spark: SparkSession, d: str) -> DataFrame:
+    return spikes.implausible(table(spark, d, "data_point"), table(spark, d, "time_series"), table(spark, d, "measure_limit"))
+
+
 def p5_rolling(spark: SparkSession, d: str) -> DataFrame:
     r = rolling.rolling_totals(table(spark, d, "data_point"))
     return r.select("tid", "day", *[x for w in (7, 30) for x in (F.round(f"sum_{w}", 2).alias(f"sum_{w}"), F.col(f"cnt_{w}"), F.round(f"avg_{w}", 4).alias(f"avg_{w}"))])
@@ -89,7 +98,7 @@ def rolling_sql() -> str:
  select tid, date '1970-01-01' + dy::int as day, {parts} from filled window {frames}"""
 
 
-QUERIES = {"p1_found": p1_found, "p1_compacted": p1_compacted, "p5_rolling": p5_rolling, "p6_found": p6_found, "p6_periods": p6_periods, "p7_found": p7_found, "p7_grid": p7_grid}
+QUERIES = {"p1_found": p1_found, "p1_compacted": p1_compacted, "p4_found": p4_found, "p4_flags": p4_flags, "p5_rolling": p5_rolling, "p6_found": p6_found, "p6_periods": p6_periods, "p7_found": p7_found, "p7_grid": p7_grid}
 
 SQL = {
     "p1_found": """select gid, epoch_ms(start_time) start_ms, epoch_ms(end_time) end_ms, mtid, lower(hex(coalesce(gaps, ''::blob))) gaps_hex
