@@ -9,7 +9,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from chronolith.operators.readings import BUCKET_MS, readings, running_sums, with_carry, with_source
+from chronolith.operators.readings import BUCKET_MS, running_sums, with_carry, with_source
+from chronolith.session import millis, written
 
 DAY_MS = 86_400_000
 #: Periods of the harmonics: a day, half a day, a week.
@@ -114,19 +115,24 @@ def regular(df: DataFrame, series: DataFrame, segments: DataFrame, max_gap_ms: i
     and gives no rows. ``missing_only`` leaves out the observed slots.
     """
     step = series.where("tid is not null and sampling_interval > 0").groupBy("tid").agg(F.max("sampling_interval").cast("long").alias("si"))
-    rows = readings(df, "tid", "timestamp", "value", bucket_ms).where("v is not null")
+    v = F.col("value").cast("float")
+    rows = df.select("tid", millis("timestamp").alias("ts_ms"), F.when(~F.isnan(v), v).alias("v")).where("tid is not null and ts_ms is not null and v is not null")
+    # buckets of whole slots: one exchange serves the copies, the slots and the order of slots
     rows = with_source(rows, step, "tid")
-    rows = rows.withColumn("slot_ms", F.floor(F.col("ts_ms") / F.col("si")) * F.col("si"))
-    at = rows.groupBy("tid", "slot_ms", "si").agg(F.avg(F.col("v").cast("double")).alias("value"), F.min("ts_ms").alias("t0"), F.max("ts_ms").alias("t1"))
-    at = at.withColumn("b", F.floor(F.col("slot_ms") / F.lit(bucket_ms)).cast("int")).repartition("tid", "b")
+    width = F.col("si") * F.ceil(F.lit(bucket_ms) / F.col("si"))
+    rows = rows.withColumn("b", F.floor(F.col("ts_ms") / width).cast("int")).repartition("tid", "b")
+    rows = rows.groupBy("tid", "b", "ts_ms", "si").agg(F.max("v").alias("v"))
+    at = rows.groupBy("tid", "b", (F.floor(F.col("ts_ms") / F.col("si")) * F.col("si")).alias("slot_ms"), "si").agg(
+        F.avg(F.col("v").cast("double")).alias("value"), F.min("ts_ms").alias("t0"), F.max("ts_ms").alias("t1"))
+    beta = fit(at, "tid", "slot_ms", "value")
     at = with_carry(at, "tid", "slot_ms", ["slot_ms", "t1", "value"])
     gap = at.where((F.col("slot_ms") - F.col("prev_slot_ms") > F.col("si")) & (F.col("t0") - F.col("prev_t1") <= F.lit(max_gap_ms)))
-    beta = fit(rows, "tid", "ts_ms", "v")
     gap = gap.join(beta, "tid")
     gap = gap.select(
         "tid", "si", F.col("prev_slot_ms").alias("l"), F.col("slot_ms").alias("r"), "origin", "beta",
         (F.col("prev_value") - predict(F.col("prev_slot_ms"), F.col("origin"), F.col("beta"))).alias("rl"),
         (F.col("value") - predict(F.col("slot_ms"), F.col("origin"), F.col("beta"))).alias("rr"))
+    gap = written(gap, "gaps")  # what follows passes over them twice
     gap = gap.withColumn("from", F.explode(F.sequence(F.col("l") + F.col("si"), F.col("r") - F.col("si"), F.col("si") * CHUNK)))
     last = F.least(F.col("from") + F.col("si") * (CHUNK - 1), F.col("r") - F.col("si"))
     gap = gap.withColumn("slot_ms", F.explode(F.sequence(F.col("from"), last, F.col("si"))))
