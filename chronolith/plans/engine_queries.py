@@ -111,7 +111,7 @@ add("seg_start_count", "li_daily", f"SELECT x.tid, COUNT_S(x.tid, x.start_time,
 add("seg_end_count", "li_daily", f"SELECT x.tid, COUNT_S(x.tid, x.start_time, x.end_time) AS n FROM (SELECT inline(END(#, TIMESTAMP '{T1}')) FROM Segment WHERE start_time <= TIMESTAMP '{T1}') x GROUP BY x.tid", f"select tid, count(*) n from p where timestamp <= '{T1}' group by 1")
 add("seg_start_end_sum", "li_daily", f"SELECT x.tid, SUM_S(x.tid, x.start_time, x.end_time, x.mtid, x.model, x.offsets) AS s FROM (SELECT inline(START_END(#, TIMESTAMP '{T0}', TIMESTAMP '{T1}')) FROM Segment WHERE end_time >= TIMESTAMP '{T0}' AND start_time <= TIMESTAMP '{T1}') x GROUP BY x.tid", f"select tid, sum(value::double) s from p where timestamp between '{T0}' and '{T1}' group by 1")
 add("cube_two_levels", "li_daily", lambda e: e.sql("SELECT returnflag, SUM_YEAR(#) AS y, COUNT_MONTH(#) AS m FROM Segment WHERE tid > 1 GROUP BY returnflag").select("returnflag", F.aggregate(F.map_values("y"), F.lit(0.0), lambda a, b: a + b).alias("s"), F.size("m").alias("months")),
-    "select returnflag, sum(value::double) s, count(distinct month(timestamp))::int months from p where tid > 1 group by 1")
+    "select returnflag, sum(value::double) s, count(distinct month(timestamp))::int as months from p where tid > 1 group by 1")
 
 PLAIN = {
     "dp_scan": ("li_daily", "SELECT tid, timestamp, value FROM DataPoint"),
