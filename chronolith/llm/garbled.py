@@ -220,7 +220,8 @@ class Model:
             for m in UTF8.finditer(data):
                 new = m.group().decode("utf-8")
                 around = self.pairs(whole[a + m.start() - 1 : a + m.start()] + new + whole[a + m.end() : a + m.end() + 1])
-                if CONTROL.search(new) or max(around, default=0.0) <= self.least:
+                layered = UTF8.fullmatch(bytes(table.get(c, 0x20) for c in new))  # garbled twice: the next round goes on
+                if not layered and (CONTROL.search(new) or max(around, default=0.0) <= self.least):
                     continue  # no pair of it stands anywhere else: valid by chance
                 out += [whole[at : a + m.start()], new]
                 at, changed = a + m.end(), changed + m.end() - m.start()
