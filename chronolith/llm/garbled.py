@@ -196,7 +196,7 @@ class Model:
                     gain = self.total(left + new + right) - old
                     if gain > max(best[2], GAIN):
                         best = (new, f"cp1252>{to}", gain, False)
-        if best[1]:
+        if best[3]:
             return best
         for name in READ_AS:
             if not mine <= self.chars[name]:
@@ -244,7 +244,7 @@ class Model:
         for again in range(3):  # text can be garbled more than once
             if again:
                 places = self.suspects([t]).get(0, [])
-            found, gains, end = [], defaultdict(float), -1
+            found, gains, rest, end = [], defaultdict(float), [], -1
             for p in places:
                 if p + 1 < end:
                     continue
@@ -253,11 +253,20 @@ class Model:
                         continue
                     m, stop = token_start(t, q), TOKEN_END.search(t, q)
                     end = stop.start() if stop else len(t)
-                    new, name, gain, proven = self.restore(t[m:end], t[m - 1] if m else " ", t[end] if end < len(t) else " ")
+                    left, right = t[m - 1] if m else " ", t[end] if end < len(t) else " "
+                    new, name, gain, proven = self.restore(t[m:end], left, right)
+                    if not name:
+                        rest.append((m, end, left, right))
                     if name:
                         found.append((m, end, new, name, proven))
                         gains[name] += gain
             best = max(gains, key=gains.get, default=None)
+            turn = self.maps.get(tuple(best.split(">"))) if best and gains[best] >= GAIN_TEXT else None
+            for a, b, left, right in rest if turn else ():  # what the text's mapping improves, single letters too
+                s, new = t[a:b], t[a:b].translate(turn[0])
+                if new != s and not any(x.isspace() for x in s) and self.total(left + new + right) > self.total(left + s + right):
+                    found.append((a, b, new, best, False))
+            found.sort()
             out, at = [], 0
             for a, b, new, name, proven in found:
                 if proven or (name == best and gains[name] >= GAIN_TEXT):
