@@ -255,13 +255,15 @@ class Model:
                     end = stop.start() if stop else len(t)
                     left, right = t[m - 1] if m else " ", t[end] if end < len(t) else " "
                     new, name, gain, proven = self.restore(t[m:end], left, right)
-                    if not name:
+                    if not proven:
                         rest.append((m, end, left, right))
                     if name:
                         found.append((m, end, new, name, proven))
                         gains[name] += gain
             best = max(gains, key=gains.get, default=None)
             turn = self.maps.get(tuple(best.split(">"))) if best and gains[best] >= GAIN_TEXT else None
+            if turn:
+                found = [x for x in found if x[4]]
             for a, b, left, right in rest if turn else ():  # what the text's mapping improves, single letters too
                 s, new = t[a:b], t[a:b].translate(turn[0])
                 if new != s and not any(x.isspace() for x in s) and self.total(left + new + right) > self.total(left + s + right):
