@@ -73,16 +73,12 @@ def tail_cutoff(y: np.ndarray, blocks: Blocks, ok: np.ndarray) -> np.ndarray:
         return u + scale / shape * ((RISK / TAIL) ** -shape - 1)
 
 
-def spikes(block: np.ndarray, v: np.ndarray) -> np.ndarray:
-    """Marks readings of excursions of 1 to LONGEST readings that leave the course on both sides by more than the cutoff.
-
-    The residual of an excursion is how far all of it lies beyond both medians, of the readings before and of those after;
-    slow changes, such as the daily course, and lasting changes of level leave none. The cutoff is the tail's, and not less
-    than what the source otherwise changes by: from reading to reading and from level to level.
-    """
-    b = Blocks(block)
-    before = middle([b.shift(v, -o, np.inf) for o in range(1, SIDE + 1)])
-    after = middle([b.shift(v, o, np.inf) for o in range(1, SIDE + 1)])
+def residuals(b: Blocks, v: np.ndarray, without: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """How far each reading's excursion lies beyond the medians of both sides, and the medians before. Readings marked in
+    ``without`` don't count in the medians."""
+    course = np.where(without, np.inf, v)
+    before = middle([b.shift(course, -o, np.inf) for o in range(1, SIDE + 1)])
+    after = middle([b.shift(course, o, np.inf) for o in range(1, SIDE + 1)])
     residual = np.zeros(b.n)
     for length in range(1, LONGEST + 1):
         end = b.shift(after, length - 1, np.nan)
@@ -99,6 +95,18 @@ def spikes(block: np.ndarray, v: np.ndarray) -> np.ndarray:
         out = np.where(both, np.maximum(np.maximum(up, down), 0), 0)
         for k in range(length):
             residual = np.maximum(residual, b.shift(out, -k, 0.0))
+    return residual, before
+
+
+def spikes(block: np.ndarray, v: np.ndarray) -> np.ndarray:
+    """Marks readings of excursions of 1 to LONGEST readings that leave the course on both sides by more than the cutoff.
+
+    The residual of an excursion is how far all of it lies beyond both medians, of the readings before and of those after;
+    slow changes, such as the daily course, and lasting changes of level leave none. The cutoff is the tail's, and not less
+    than what the source otherwise changes by: from reading to reading and from level to level.
+    """
+    b = Blocks(block)
+    residual, before = residuals(b, v, np.zeros(b.n, bool))
     step = np.abs(v - b.shift(v, -1, np.nan))
     level = np.abs(before - middle([b.shift(v, o, np.inf) for o in range(SIDE)]))
     # readings inside long equal stretches would make the source look quieter than it is
@@ -117,7 +125,12 @@ def spikes(block: np.ndarray, v: np.ndarray) -> np.ndarray:
     still = usual < 0.25 * b.quantile(step, 0.95, ok)
     cut = np.maximum(cut, np.where(still, 1.25 * b.quantile(np.nan_to_num(level), 0.98, ok & far & np.isfinite(level)), 0))
     enough = b.size >= 2 * SIDE + LONGEST
-    return (residual > cut[b.of]) & (residual > 0) & enough[b.of]
+    hit = (residual > cut[b.of]) & (residual > 0) & enough[b.of]
+    # once more without the marked readings in the medians: what stood out only against a spike beside it is none
+    hit &= residuals(b, v, hit)[0] > cut[b.of]
+    # where the source mostly stands still, readings that stand still apart from it are a short plateau
+    level_with = hit & (b.shift(hit, -1, False) > 0) & still[b.of] & (np.nan_to_num(step, nan=np.inf) <= 5 * usual[b.of])
+    return hit & ~level_with & ~(b.shift(level_with, 1, False) > 0)
 
 
 def equal_stretch(run: np.ndarray, least: int) -> np.ndarray:
