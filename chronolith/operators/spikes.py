@@ -127,9 +127,16 @@ def spikes(block: np.ndarray, v: np.ndarray) -> np.ndarray:
     enough = b.size >= 2 * SIDE + LONGEST
     hit = (residual > cut[b.of]) & (residual > 0) & enough[b.of]
     # once more without the marked readings in the medians: what stood out only against a spike beside it is none
-    hit &= residuals(b, v, hit)[0] > cut[b.of]
+    near = np.zeros(b.n, bool)
+    marked = np.flatnonzero(hit)
+    for k in range(-2 * SIDE, 2 * SIDE + 1):
+        near[np.clip(marked + k, 0, b.n - 1)] = True
+    at = np.flatnonzero(near)  # all that the marked readings' medians see, stretch by stretch
+    if len(at):
+        stretch = np.cumsum(np.r_[0, (np.diff(at) > 1) | (b.of[at][1:] != b.of[at][:-1])])
+        hit[at] &= residuals(Blocks(stretch), v[at], hit[at])[0] > cut[b.of[at]]
     # where the source mostly stands still, readings that stand still apart from it are a short plateau
-    level_with = hit & (b.shift(hit, -1, False) > 0) & still[b.of] & (np.nan_to_num(step, nan=np.inf) <= 5 * usual[b.of])
+    level_with = hit & (b.shift(hit, -1, False) > 0) & still[b.of] & (np.nan_to_num(step, nan=np.inf) <= 6 * b.quantile(step, 0.5, ok)[b.of])
     return hit & ~level_with & ~(b.shift(level_with, 1, False) > 0)
 
 
