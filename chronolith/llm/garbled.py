@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import math
-from collections import defaultdict
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,6 +25,10 @@ READ_AS = ("cp1252", "cp1250", "cp1251", "cp437", "cp850", "mac_roman", "koi8_r"
 WRITTEN = ("cp1252", "cp1251", "koi8_r", "cp866", "cp850")
 WRITTEN_WIDE = ("cp932", "euc_jp")
 READ_WIDE = ("cp932", "euc_jp", "gb18030", "cp949", "big5")
+#: Encodings under which a first character of UTF-8 that is always followed by a further one proves the reading wrong, and
+#: how often and in what share of its places (but before white space) it must be.
+FORM = ("cp1252", "iso8859_15", "cp1250", "cp437")
+FORM_LEAST, FORM_SHARE = 4, 0.9
 
 UTF8 = regex.compile(rb"(?:[\xc2-\xdf][\x80-\xbf]|\xe0[\xa0-\xbf][\x80-\xbf]|[\xe1-\xec\xee\xef][\x80-\xbf]{2}|\xed[\x80-\x9f][\x80-\xbf]|\xf0[\x90-\xbf][\x80-\xbf]{2}|[\xf1-\xf3][\x80-\xbf]{3}|\xf4[\x80-\x8f][\x80-\xbf]{2})+")
 CONTROL = regex.compile("[\x80-\x84\x86-\x9f]")
@@ -96,7 +100,19 @@ class Model:
         self.chars = {w: {c for c in t if ord(c) > 127} for w, t in self.bytes_of.items()}
         self.maps = {(w, r): turned(t, r) for w, t in self.bytes_of.items() for r in WRITTEN if r != w}
         self.known: dict[int, int] = {}
-        self.common = np.array(sorted(p for p, x in shares.items() if x >= RARE), np.int64)
+        for w in FORM:  # what in the corpus nearly always stands as UTF-8 would counts as improbable, however frequent
+            held: dict[int, list[tuple[int, float, bool]]] = defaultdict(list)
+            for p, x in shares.items():
+                a, b = (self.bytes_of[w].get(chr(c), 0) if c < 0x110000 else 0 for c in (p >> 24, p & 0xFFFFFF))
+                if 0xC2 <= a < 0xF5 and p & 0xFFFFFF != 32:
+                    held[a].append((p, x, 0x80 <= b < 0xC0 and written(a, b)))
+            for of in held.values():
+                if sum(x for _, x, form in of if form) >= FORM_SHARE * sum(x for _, x, _ in of):
+                    self.score.update({p: self.least for p, _, form in of if form})
+        self.as_bytes = {w: ByteText({ord(c): b for c, b in self.bytes_of[w].items()}) for w in FORM}
+        formed = {ord(a) << 24 | ord(b) for t in self.bytes_of.values() for a, x in t.items() if 0xC2 <= x < 0xF5 for b, y in t.items() if 0x80 <= y < 0xC0 and written(x, y) and not ordinary(a, b)}
+        # pairs that may be parts of UTF-8, lost and control characters are looked at however frequent they are
+        self.common = np.array(sorted(p for p, x in shares.items() if x >= RARE and p not in formed and not lost(p)), np.int64)
 
     def pairs(self, s: str) -> list[float]:
         get, least, sym = self.score.get, self.least, self.symbol
@@ -149,8 +165,6 @@ class Model:
     def restored(self, s: str, left: str, right: str) -> tuple[str, str | None, float, bool]:
         whole = left + s + right
         segments = self.segments(whole)
-        if not segments:
-            return s, None, 0.0, False
         # a character at the edge of an improbable run may belong to it: runs take in what is next to them and isn't ASCII
         spans: list[list[int]] = []
         for a, b in segments:
@@ -164,15 +178,21 @@ class Model:
             elif a < b:
                 spans.append([a, b])
         old, wide = self.total(whole), {c for a, b in spans for c in whole[a:b] if ord(c) > 127}
+        every = {c for c in s if ord(c) > 127}
         best = (s, None, 0.0, False)
         for name, table in self.bytes_of.items():
-            if not wide & self.leads[name]:
+            if not every & self.leads[name]:
                 continue
-            new, changed = self.as_utf8(whole, spans, table)
+            # sequences of valid form too, though a frequent garbling makes their pairs common
+            data = bytes(table.get(c, 0x20) if ord(c) > 127 else 0x20 for c in whole)
+            formed = [[a, b] for a, b in (m.span() for m in UTF8.finditer(data)) if not any(x <= a and b <= y for x, y in spans)]
+            new, changed = self.as_utf8(whole, joined(spans + formed), table)
             if changed:
                 gain = self.total(new) - old
                 if gain > max(best[2], GAIN if changed < 3 else 0):
                     best = (new[len(left) : len(new) - len(right)], f"{name}>utf-8", gain, True)
+        if not segments:
+            return best
         if wide and max(wide) > "\u2e80":
             for a, b in spans:
                 part = whole[a:b]
@@ -184,7 +204,7 @@ class Model:
                     gain = self.total(whole[:a] + new + whole[b:]) - old
                     if len(part) > 1 and gain > max(best[2], GAIN):
                         best = (whole[len(left) : a] + new + whole[b : len(whole) - len(right)], f"{name}>utf-8", gain, True)
-        mine = {c for c in s if ord(c) > 127}
+        mine = every
         if mine <= self.chars["cp1252"] and len(mine) > 1:
             data = bytes(self.bytes_of["cp1252"].get(c, 0x3F) for c in s)
             for to in WRITTEN_WIDE:
@@ -227,8 +247,28 @@ class Model:
                 at, changed = a + m.end(), changed + m.end() - m.start()
         return "".join([*out, whole[at:]]), changed
 
+    def by_form(self, t: str) -> tuple[str, str, int]:
+        """(text, mapping, passages) with UTF-8 put right that its form alone proves: see FORM. Scores don't count here, as
+        all texts of a language may be garbled alike."""
+        if len(MAYBE.findall(t)) < FORM_LEAST:
+            return t, "", 0
+        for name in FORM:
+            data = t.translate(self.as_bytes[name]).encode("latin-1")
+            runs = [(*m.span(), m.group().decode("utf-8")) for m in UTF8.finditer(data)]
+            held = Counter(c.encode()[0] for _, _, new in runs for c in new)
+            places = Counter(x[0] for x in LEAD.findall(data)) if held and max(held.values()) >= FORM_LEAST else {}
+            sure = {b for b, n in held.items() if n >= max(FORM_LEAST, FORM_SHARE * places.get(b, math.inf))}
+            out, at, n = [], 0, 0
+            for a, b, new in runs if sure else ():
+                if all(c.encode()[0] in sure and WRITING.match(c) for c in new):
+                    out += [t[at:a], new]
+                    at, n = b, n + 1
+            if n >= FORM_LEAST:
+                return "".join([*out, t[at:]]), f"{name}>utf-8", n
+        return t, "", 0
+
     def suspects(self, texts: list[str]) -> dict[int, list[int]]:
-        """Places of improbable pairs by text."""
+        """Places of improbable pairs, and of those that may be garbled whatever their share, by text."""
         owner, pair, at = pair_codes(texts)
         k = np.minimum(np.searchsorted(self.common, pair), max(0, len(self.common) - 1))
         odd = self.common[k] != pair if len(self.common) else np.ones(len(pair), bool)
@@ -275,13 +315,50 @@ class Model:
                     out += [t[at:a], new]
                     at = b
                     used[name] += 1
-            if not out:
-                break
             t = "".join([*out, t[at:]])
+            if not out:  # nothing scores any more
+                t, name, n = self.by_form(t)
+                if not n:
+                    break
+                used[name] += n
         affected = affected or bool(used) or bool(CONTROL.search(t))
         return affected, t, max(used, key=used.get) if used else ""
 
 
+class ByteText(dict):
+    """For str.translate: what isn't in the table becomes a question mark."""
+
+    def __missing__(self, c: int) -> int:
+        return 0x3F
+
+
+def lost(pair: int) -> bool:
+    return any(x == 0xFFFD or 0x80 <= x < 0xA0 and x != 0x85 for x in (pair >> 24, pair & 0xFFFFFF))
+
+
+def written(x: int, y: int) -> bool:
+    """Whether UTF-8 of these first two bytes can be a character of WRITING."""
+    return x >= 0xE0 or bool(WRITING.match(bytes([x, y]).decode("utf-8")))
+
+
+def ordinary(a: str, b: str) -> bool:
+    """Cyrillic letters as words have them: they form UTF-8 by chance."""
+    return "\u0400" <= min(a, b) and max(a, b) < "\u0500" and not (a.islower() and b.isupper())
+
+
+def joined(spans: list[list[int]]) -> list[list[int]]:
+    out: list[list[int]] = []
+    for a, b in sorted(spans):
+        if out and a < out[-1][1]:
+            out[-1][1] = max(b, out[-1][1])
+        else:
+            out.append([a, b])
+    return out
+
+
+#: First bytes of UTF-8 but before white space, and alphabets and signs that texts are written in.
+LEAD = regex.compile(rb"[\xc2-\xf4](?![ \t\r\n]|$)")
+WRITING = regex.compile("[\u00a0-\u017f\u0370-\u045f\u2010-\u27ff\u3000-\u30ff\u4e00-\u9fff\uac00-\ud7a3\uff00-\uffef]")
 EDGES = " \n\r\t"
 TOKEN_END = regex.compile(r"[ \n\r\t]")
 
@@ -331,6 +408,10 @@ def single_byte(name: str) -> dict[str, int]:
     return out
 
 
+#: A first and a further byte of UTF-8 under one of FORM.
+MAYBE = regex.compile("|".join("[{}][{}]".format(*(regex.escape("".join(c for c, b in single_byte(w).items() if x <= b < y), special_only=False) for x, y in ((0xC2, 0xF5), (0x80, 0xC0)))) for w in FORM))
+
+
 def garbled(docs: DataFrame) -> DataFrame:
     """(doc_id, restored, mapping): the documents in whose text at least one character came out wrong because bytes were
     decoded with an encoding other than theirs. ``restored`` has the passages put right that an inverse mapping explains;

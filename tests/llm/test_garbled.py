@@ -63,3 +63,18 @@ def test_no_documents(spark, docs_frame):
 def test_segments_are_maximal():
     m = garbled.Model({})
     assert m.segments("plain text") == [] and m.segments("abÃ¼cd") == [(1, 5)]
+
+
+@pytest.mark.parametrize("kind", ["all of a language", "one sign", "lost", "controls"])
+def test_a_third_garbled_alike(spark, docs_frame, kind):
+    """A frequent garbling makes its own pairs common."""
+    good = [text(w, s) + " 7 µm" * (s % 3 == 0) for w in (GERMAN, RUSSIAN) for s in range(100)]
+    right = [latin(text(FRENCH, s)).replace("à", "a") if kind == "all of a language" else text("the ring holds a plate".split(), s) + " 12 µm." for s in range(100)]
+    if kind in ("lost", "controls"):
+        bad = [t.replace("µ", "�" if kind == "lost" else "\x85\x91") for t in right]
+    else:
+        bad = [wrong(t, "utf-8", "cp1252") for t in right]
+    got = {r["doc_id"]: r["restored"] for r in garbled.garbled(docs_frame(good + bad)).collect()}
+    assert set(got) == set(range(200, 300))
+    if kind not in ("lost", "controls"):
+        assert [got[200 + k] for k in range(100)] == right
