@@ -135,26 +135,31 @@ def split_words(code: np.ndarray, starts: np.ndarray) -> list[str]:
 def aligned(item: list[str], doc: list[str]) -> int:
     """The largest number of successive words of ``item`` that stand in ``doc`` in order, words that match joined over at
     most one item word and two words of the document in between. A word of the item also matches two that it was
-    broken into. At least MATCHED of the words must match. The search stays in the band that these joins span."""
+    broken into. At least MATCHED of the words must match. The search stays in the band that these joins span. Every start
+    is followed that may still win: one is dropped only for an earlier one that has no fewer matches to spare."""
     where = defaultdict(list)
     for j, w in enumerate(doc):
         where[w].append((j, j))
         if j + 1 < len(doc):
             where[w + doc[j + 1]].append((j, j + 1))
-    best, ends = 0, {}  # (i, j of the last word) -> (first i, words matched)
+    best, ends = 0, {}  # (i, j of the last word) -> [(first i, words matched)], by first i
     for i, w in enumerate(item):
         for j, je in where.get(w, ()):
-            first, n = i, 1
+            matched = dict(ends.get((i, je), ()))  # first i -> words matched
+            matched.setdefault(i, 1)
             for di in (1, 2, 3):
                 for dj in (1, 2, 3, 4):
-                    p = ends.get((i - di, j - dj))
-                    if p is not None and (p[0] < first or (p[0] == first and p[1] + 1 > n)):
-                        first, n = p[0], p[1] + 1
-            old = ends.get((i, je))
-            if old is None or first < old[0] or (first == old[0] and n > old[1]):
-                ends[i, je] = (first, n)
-            if i - first + 1 > best and n >= MATCHED * (i - first + 1):
-                best = i - first + 1
+                    for first, n in ends.get((i - di, j - dj), ()):
+                        if n + 1 > matched.get(first, 0):
+                            matched[first] = n + 1
+            kept, most = [], 0.0
+            for first, n in sorted(matched.items()):
+                if n + MATCHED * first > most:
+                    kept.append((first, n))
+                    most = n + MATCHED * first
+                    if i - first + 1 > best and n >= MATCHED * (i - first + 1):
+                        best = i - first + 1
+            ends[i, je] = kept
     return best
 
 

@@ -79,3 +79,25 @@ def test_in_blocks(spark, docs_frame, monkeypatch):
     got = {tuple(r) for r in leaks.leaks(df.union(df.where("doc_id = 3")), evals).collect()}
     assert got == {(3, 0), (4, 3), (4, 2)} or got == {(3, 0), (4, 3)}
     assert leaks.leaks(df.where("false"), evals).count() == 0 and leaks.leaks(df, evals.where("false")).count() == 0
+
+
+@pytest.mark.parametrize("n", [15, 18, 20])
+def test_chance_matches_before_a_passage(n):
+    part = item(7, n).split()
+    text = ["la", "x1", "x2", "de", "x3", "x4", *part]
+    assert leaks.aligned(text, ["la", "y1", "y2", "de", "y3", "y4", *part]) >= n
+
+
+def test_alignment_against_all_chains():
+    """Every (first word, words matched) of every cell, none dropped."""
+    r = random.Random(6)
+    for _ in range(300):
+        a, b = (["".join(r.choice("abcdef")) for _ in range(r.randint(5, 40))] for _ in range(2))
+        ends, want = {}, 0
+        for i, w in enumerate(a):
+            for j, x in enumerate(b):
+                for je in [j] * (w == x) + [j + 1] * (w == "".join(b[j : j + 2]) and j + 1 < len(b)):
+                    before = [p for di in (1, 2, 3) for dj in (1, 2, 3, 4) for p in ends.get((i - di, j - dj), ())]
+                    ends.setdefault((i, je), set()).update({(i, 1)} | {(f, n + 1) for f, n in before})
+                    want = max([want, *(i - f + 1 for f, n in ends[i, je] if n >= leaks.MATCHED * (i - f + 1))])
+        assert leaks.aligned(a, b) == want
