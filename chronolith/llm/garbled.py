@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import hashlib
 import math
+import re
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 
@@ -20,6 +22,11 @@ FLOOR = 0.0005
 #: bytes' form proves nothing.
 GAIN = 2.0
 GAIN_TEXT = 12.0
+#: A restored word of at least so many letters is believed alone if it stands in more than FLOOR of the documents and in so
+#: many times as many as the garbled one. Keys from WORD on stand for words among the pairs.
+LETTERS = 4
+WORD_TIMES = 10
+WORD = 1 << 62
 #: Encodings of one byte a character in which texts are wrongly read or were written.
 READ_AS = ("cp1252", "cp1250", "cp1251", "cp437", "cp850", "mac_roman", "koi8_r", "cp866", "iso8859_15", "iso8859_5", "mac_cyrillic")
 WRITTEN = ("cp1252", "cp1251", "koi8_r", "cp866", "cp850")
@@ -53,10 +60,12 @@ def pair_codes(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def document_frequencies(docs: DataFrame) -> tuple[dict[int, float], int]:
-    """Share of all documents that hold each pair, for pairs above FLOOR, and the number of documents."""
+    """Share of all documents that hold each pair, and each word with a letter that isn't ASCII, for those above FLOOR, and
+    the number of documents."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, int] = defaultdict(int)
+        words: Counter[str] = Counter()
         n = 0
         for b in batches:
             for at in range(0, b.num_rows, 256):
@@ -64,6 +73,8 @@ def document_frequencies(docs: DataFrame) -> tuple[dict[int, float], int]:
                 n += len(texts)
                 if not texts:
                     continue
+                for t in texts:
+                    words.update(own_words(t))
                 owner, pair, _ = pair_codes(texts)
                 o = np.lexsort((pair, owner))
                 owner, pair = owner[o], pair[o]
@@ -71,6 +82,8 @@ def document_frequencies(docs: DataFrame) -> tuple[dict[int, float], int]:
                 p, c = np.unique(pair[new], return_counts=True)
                 for x, y in zip(p.tolist(), c.tolist()):
                     held[x] += y
+        for w, c in words.items():
+            held[word_key(w)] += c
         yield pa.RecordBatch.from_arrays([pa.array([-1, *held], pa.int64()), pa.array([n, *held.values()], pa.int64())], names=["pair", "df"])
 
     # one row for each pair and task, then one for each pair
@@ -92,6 +105,8 @@ class Model:
     """
 
     def __init__(self, shares: dict[int, float]):
+        self.words = {p: x for p, x in shares.items() if p >= WORD}
+        shares = {p: x for p, x in shares.items() if p < WORD}
         self.score = {p: math.log(s) for p, s in shares.items()}
         self.least = math.log(FLOOR / 2)
         self.seen: dict[tuple[str, str, str], tuple] = {}
@@ -247,6 +262,16 @@ class Model:
                 at, changed = a + m.end(), changed + m.end() - m.start()
         return "".join([*out, whole[at:]]), changed
 
+    def known_word(self, old: str, new: str) -> bool:
+        """Whether all that differs in the restored token lies in words that are frequent only as restored."""
+        if not self.words or len(old) != len(new):
+            return False
+        spans = [m.span() for m in OWN.finditer(new) if new[m.start() : m.end()] != old[m.start() : m.end()]]
+        share = lambda w: self.words.get(word_key(w), 0.0)
+        if not all(share(new[a:b]) > WORD_TIMES * share(old[a:b]) for a, b in spans):
+            return False
+        return bool(spans) and all(x == y or any(a <= k < b for a, b in spans) for k, (x, y) in enumerate(zip(old, new)))
+
     def by_form(self, t: str) -> tuple[str, str, int]:
         """(text, mapping, passages) with UTF-8 put right that its form alone proves: see FORM. Scores don't count here, as
         all texts of a language may be garbled alike."""
@@ -311,7 +336,7 @@ class Model:
             found.sort()
             out, at = [], 0
             for a, b, new, name, proven in found:
-                if proven or (name == best and gains[name] >= GAIN_TEXT):
+                if proven or (name == best and gains[name] >= GAIN_TEXT) or self.known_word(t[a:b], new):
                     out += [t[at:a], new]
                     at = b
                     used[name] += 1
@@ -325,6 +350,19 @@ class Model:
         return affected, t, max(used, key=used.get) if used else ""
 
 
+#: Words of alphabets.
+OWN = re.compile("[A-Za-z\u00aa\u00b5\u00ba\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f\u0370-\u052f]{%d,}" % LETTERS)
+
+
+def own_words(t: str) -> set[str]:
+    """Words with a letter that isn't ASCII."""
+    return set() if t.isascii() else {w for w in set(OWN.findall(t)) if not w.isascii()}
+
+
+def word_key(w: str) -> int:
+    return WORD | int.from_bytes(hashlib.blake2b(w.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "big") >> 3
+
+
 class ByteText(dict):
     """For str.translate: what isn't in the table becomes a question mark."""
 

@@ -78,3 +78,11 @@ def test_a_third_garbled_alike(spark, docs_frame, kind):
     assert set(got) == set(range(200, 300))
     if kind not in ("lost", "controls"):
         assert [got[200 + k] for k in range(100)] == right
+
+
+@pytest.mark.parametrize("word,read", [("Behälter", "cp437"), ("Anschluß", "cp850"), ("réglée", "mac_roman"), ("größere", "cp437")])
+def test_one_word_of_one_byte(spark, docs_frame, corpus, word, read):
+    """A lone word that the corpus knows only as restored; one that it doesn't know stays."""
+    bad = ["the ring holds a plate, " + wrong(word, "cp1252", read) + ", of steel", "the ring holds a plate, Mährkölb, of steel"]
+    got = {r["doc_id"]: r["restored"] for r in garbled.garbled(docs_frame(corpus + bad)).collect()}
+    assert got == {len(corpus): "the ring holds a plate, " + word + ", of steel"}
