@@ -135,8 +135,10 @@ def spikes(block: np.ndarray, v: np.ndarray) -> np.ndarray:
     if len(at):
         stretch = np.cumsum(np.r_[0, (np.diff(at) > 1) | (b.of[at][1:] != b.of[at][:-1])])
         hit[at] &= residuals(Blocks(stretch), v[at], hit[at])[0] > cut[b.of[at]]
-    # where the source mostly stands still, readings that stand still apart from it are a short plateau
-    level_with = hit & (b.shift(hit, -1, False) > 0) & still[b.of] & (np.nan_to_num(step, nan=np.inf) <= 6 * b.quantile(step, 0.5, ok)[b.of])
+    # where the source mostly stands still, readings that stand still apart from it are a short plateau, but only as far off
+    # as it goes elsewhere, too
+    moves = np.maximum.reduceat(np.where(ok & far & np.isfinite(level), level, 0.0), b.first)
+    level_with = hit & (b.shift(hit, -1, False) > 0) & still[b.of] & (residual <= moves[b.of]) & (np.nan_to_num(step, nan=np.inf) <= 6 * b.quantile(step, 0.5, ok)[b.of])
     return hit & ~level_with & ~(b.shift(level_with, 1, False) > 0)
 
 

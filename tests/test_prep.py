@@ -185,3 +185,12 @@ def test_blocks_agree_with_one_block(spark, monkeypatch):
 def test_stuck_lengths(spark):
     df = spark.createDataFrame([(1, 0, 0, 1.0, 400), (1, 1, 1, 1.0, 90), (1, 2, 2, 1.0, 20), (2, 0, 0, 1.0, 60), (2, 1, 1, 1.0, 16), (3, 0, 0, 1.0, 39), (4, 0, 0, 1.0, 50), (4, 1, 1, 2.0, 50)], "tid int, start_ms long, end_ms long, start_v float, n long")
     assert {(r["tid"], r["start_ms"]) for r in spikes.stuck(df).collect()} == {(1, 0), (1, 1), (4, 0), (4, 1)}
+
+
+@pytest.mark.parametrize("held", [2, 3])
+def test_held_spike_of_a_still_source(held):
+    """Farther off than the source's level ever goes: no short plateau, though its readings are equal."""
+    rng = np.random.default_rng(2)
+    v = np.where(np.arange(140) // 14 % 2, 29.44, 24.22) + rng.choice([0, 0.01], 140)
+    v[62 : 62 + held] = 47.7
+    assert np.flatnonzero(spikes.spikes(np.zeros(140, np.int64), v)).tolist() == list(range(62, 62 + held))
