@@ -14,11 +14,3 @@ def spark():
     s.sparkContext.setLogLevel("ERROR")
     yield s
     s.stop()
-
-
-def readings_frame(spark, rows):
-    """Rows (tid, ms, value) as the table of readings, with columns whose names clash with internal ones."""
-    from pyspark.sql import functions as F
-
-    df = spark.createDataFrame(rows, "tid int, ms long, value float")
-    return df.select("tid", F.timestamp_millis("ms").alias("timestamp"), "value", F.lit("x").alias("b"), F.lit(1).alias("v"), F.lit(2).alias("ts_ms"))

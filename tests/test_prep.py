@@ -6,8 +6,8 @@ import os
 import numpy as np
 import pandas as pd
 import pytest
-from conftest import readings_frame
 from pyspark.sql import functions as F
+from readings_helper import readings_frame
 
 from chronolith.operators import compaction, grid, intervals, rolling, spikes
 from chronolith.operators.readings import readings, with_carry
