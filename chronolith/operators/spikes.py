@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -9,17 +10,22 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from chronolith.operators.readings import BUCKET_MS, readings, with_carry, with_source
-from chronolith.operators.runs import boundary_runs, chain_runs
+from chronolith.operators.grid import DAY_MS, PERIODS_MS
+from chronolith.operators.readings import with_source
+from chronolith.session import millis, written
 
-#: Readings that are judged together, and those on either side that only give context.
-BLOCK, HALO = 8192, 1024
-#: Readings on either side whose median is the course there, and the longest spike.
-SIDE, LONGEST = 5, 3
+#: Readings of a source that are fitted and judged together, on average.
+BLOCK = 8192
+#: Readings next to a block's edge that are judged with the readings beyond it, and the blocks that are looked through for them.
+EDGE, REACH = 16, 16
+#: Readings on either side whose median is the course there, those whose median is a level, and the longest spike.
+SIDE, LEVEL, LONGEST = 5, 7, 3
 #: Chance that an ordinary reading exceeds the cutoff.
-RISK = 1e-6
-#: Share of readings above the threshold of the tail.
-TAIL = 0.10
+RISK = 1e-5
+#: Tails of residuals and of moves from level to level: the share of the sample above the threshold, the bounds of the shape
+#: (residuals' tails are near exponential, moves are bounded), and the peaks at which the estimated shape counts half.
+RESIDUAL_TAIL = (0.1, (-0.1, 0.1), 40)
+MOVE_TAIL = (0.3, (-1.0, 0.0), 5)
 #: Stuck: at least so many equal readings, and so many times the longest other stretch.
 STUCK, STUCK_TIMES = 40, 4
 
@@ -29,14 +35,16 @@ class Blocks:
 
     def __init__(self, block: np.ndarray):
         self.n = len(block)
-        self.first = np.flatnonzero(np.r_[True, block[1:] != block[:-1]])
+        self.first = np.flatnonzero(np.r_[True, block[1:] != block[:-1]]) if self.n else np.zeros(0, np.int64)
         self.size = np.diff(np.r_[self.first, self.n])
         self.of = np.repeat(np.arange(len(self.first)), self.size)
 
     def shift(self, x: np.ndarray, by: int, fill: float) -> np.ndarray:
-        i = np.arange(self.n) + by
-        j = np.clip(i, 0, self.n - 1)
-        return np.where((i == j) & (self.of[j] == self.of), x[j], fill)
+        out = np.full(self.n, fill, np.result_type(x, type(fill)))
+        if abs(by) < self.n:
+            to, frm = (slice(None, self.n - by), slice(by, None)) if by >= 0 else (slice(-by, None), slice(None, self.n + by))
+            out[to] = np.where(self.of[to] == self.of[frm], x[frm], fill)
+        return out
 
     def quantile(self, x: np.ndarray, q: float, ok: np.ndarray) -> np.ndarray:
         """Of the rows of each block where ``ok``, as one value a block; 0 where there are none."""
@@ -49,84 +57,114 @@ class Blocks:
 
 
 def middle(cols: list[np.ndarray]) -> np.ndarray:
-    """Row-wise median of what is finite, NaN without any."""
-    m = np.sort(np.stack(cols, 1), 1)
-    n = np.isfinite(m).sum(1)
-    r, k = np.arange(len(m)), np.maximum(n, 1)
-    return np.where(n > 0, (m[r, (k - 1) // 2] + m[r, k // 2]) / 2, np.nan)
-
-
-def tail_cutoff(y: np.ndarray, blocks: Blocks, ok: np.ndarray) -> np.ndarray:
-    """Per block the value that an ordinary reading exceeds with chance RISK: peaks over the threshold u, which TAIL of
-    the readings exceed, follow a generalised Pareto law. Its scale and shape come from the quartiles of the peaks, which
-    the few true spikes among them hardly move; the fewer the peaks, the nearer the shape is to 0."""
-    u = blocks.quantile(y, 1 - TAIL, ok)
-    peaks = ok & (y > u[blocks.of])
-    over = np.where(peaks, y - u[blocks.of], 0.0)
-    a, b = blocks.quantile(over, 0.5, peaks), blocks.quantile(over, 0.75, peaks)
-    with np.errstate(divide="ignore", invalid="ignore"):
-        shape = np.clip(np.log2(np.maximum(b - a, 1e-300) / np.maximum(a, 1e-300)), -0.1, 0.1)
-        many = np.bincount(blocks.of[peaks], minlength=len(blocks.first))
-        shape = shape * many / (many + 50)
-        shape = np.where(np.abs(shape) < 1e-3, 1e-3, shape)
-        scale = np.where(a > 0, a * shape / (2.0**shape - 1), 0.0)
-        return u + scale / shape * ((RISK / TAIL) ** -shape - 1)
-
-
-def residuals(b: Blocks, v: np.ndarray, without: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """How far each reading's excursion lies beyond the medians of both sides, and the medians before. Readings marked in
-    ``without`` don't count in the medians."""
-    course = np.where(without, np.inf, v)
+    """Row-wise median of what is finite, NaN without any. Columns are sorted against each other, so no row is handled alone."""
+    m = [np.where(np.isnan(c), np.inf, c) for c in cols]
+    k = len(m)
+    finite = sum(np.isfinite(c).astype(np.int8) for c in m)
+    for step in range(k):  # odd-even transposition
+        for i in range(step % 2, k - 1, 2):
+            m[i], m[i + 1] = np.minimum(m[i], m[i + 1]), np.maximum(m[i], m[i + 1])
+    out = (m[(k - 1) // 2] + m[k // 2]) / 2
+    few = np.flatnonzero(finite < k)
+    if len(few):
+        part, n = np.stack([c[few] for c in m], 1), finite[few].astype(int)
+        r, n1 = np.arange(len(few)), np.maximum(n, 1)
+        out[few] = np.where(n > 0, (part[r, (n1 - 1) // 2] + part[r, n1 // 2]) / 2, np.nan)
+    return out
+
+
+def waves(ts: np.ndarray) -> list[np.ndarray]:
+    """A sine and a cosine for each period of the seasonal regression."""
+    return [f((ts % p) * (2 * math.pi / p)) for p in PERIODS_MS for f in (np.sin, np.cos)]
+
+
+def seasonal(b: Blocks, ts: np.ndarray, v: np.ndarray) -> np.ndarray:
+    """Coefficients of the waves, a row a block: least squares with constant and trend, from the normal equations of each
+    block. A ridge of one reading's weight holds down what a short block doesn't determine."""
+    t = (ts - ts[b.first][b.of]) / DAY_MS
+    span = np.maximum.reduceat(t, b.first)
+    x = [np.ones(b.n), t / np.maximum(span[b.of], 1e-9) - 0.5, *waves(ts)]
+    y = v - (np.add.reduceat(v, b.first) / b.size)[b.of]
+    k = len(x)
+    a, c = np.empty((len(b.first), k, k)), np.empty((len(b.first), k))
+    for i in range(k):
+        for j in range(i, k):
+            a[:, i, j] = a[:, j, i] = np.add.reduceat(x[i] * x[j], b.first)
+        c[:, i] = np.add.reduceat(x[i] * y, b.first)
+    i = np.arange(k)
+    a[:, i, i] += 1e-6 * b.size[:, None] + (i > 0)
+    return np.linalg.solve(a, c[:, :, None])[:, 2:, 0]
+
+
+def without_season(ts: np.ndarray, v: np.ndarray, beta: np.ndarray) -> np.ndarray:
+    """``beta`` has a row for each reading."""
+    return v - sum(w * beta[:, k] for k, w in enumerate(waves(ts)))
+
+
+def tail_cutoff(y: np.ndarray, b: Blocks, sample: np.ndarray, tail: tuple[float, tuple[float, float], int]) -> np.ndarray:
+    """Per block the value that a reading exceeds with chance RISK where ``y`` follows the law of its ``sample``: peaks over the
+    threshold u, which a share of the sample exceeds, follow a generalised Pareto law. Its scale and shape come from the
+    quartiles of the peaks, which the few true spikes among them hardly move; the fewer the peaks, the nearer the shape is to
+    0. Where hardly any reading differs from 0, all that do are the peaks."""
+    share, bounds, trusted = tail
+    u = b.quantile(y, 1 - share, sample)
+    peaks = sample & (y > u[b.of])
+    over = np.where(peaks, y - u[b.of], 0.0)
+    half, upper = b.quantile(over, 0.5, peaks), b.quantile(over, 0.75, peaks)
+    many = np.bincount(b.of[peaks], minlength=len(b.first))
+    with np.errstate(divide="ignore", invalid="ignore", over="ignore"):
+        k = np.clip(np.log2(np.maximum(upper - half, 1e-300) / np.maximum(half, 1e-300)), *bounds)
+        k = k * many / (many + trusted)
+        k = np.where(np.abs(k) < 1e-3, 1e-3, k)
+        scale = np.where(half > 0, half * k / (2.0**k - 1), 0.0)
+        return u + scale / k * (np.minimum(1.0, RISK / (np.maximum(many, 1) / b.size)) ** -k - 1)
+
+
+def excursions(b: Blocks, v: np.ndarray, without: np.ndarray | None = None) -> np.ndarray:
+    """How far each reading lies beyond the medians of both sides, with all of an excursion of 1 to LONGEST readings, whose
+    neighbours have returned at least halfway. Readings marked in ``without`` don't count in the medians."""
+    course = v if without is None else np.where(without, np.inf, v)
     before = middle([b.shift(course, -o, np.inf) for o in range(1, SIDE + 1)])
     after = middle([b.shift(course, o, np.inf) for o in range(1, SIDE + 1)])
     residual = np.zeros(b.n)
     for length in range(1, LONGEST + 1):
         end = b.shift(after, length - 1, np.nan)
         low, high = np.fmin(before, end), np.fmax(before, end)
-        both = np.isfinite(before) & np.isfinite(end)
         up, down = np.full(b.n, np.inf), np.full(b.n, np.inf)
         for k in range(length):
             x = b.shift(v, k, np.nan)
             up, down = np.fmin(up, np.nan_to_num(x - high, nan=-1.0)), np.fmin(down, np.nan_to_num(low - x, nan=-1.0))
-        # the readings next to it have returned at least halfway
         prior, later = b.shift(v, -1, np.nan), b.shift(v, length, np.nan)
         up = np.where(np.fmax(prior, later) - high < up / 2, up, 0)
         down = np.where(low - np.fmin(prior, later) < down / 2, down, 0)
-        out = np.where(both, np.maximum(np.maximum(up, down), 0), 0)
+        out = np.where(np.isfinite(before) & np.isfinite(end), np.maximum(np.maximum(up, down), 0), 0)
         for k in range(length):
             residual = np.maximum(residual, b.shift(out, -k, 0.0))
-    return residual, before
+    return residual
 
 
-def spikes(block: np.ndarray, v: np.ndarray) -> np.ndarray:
-    """Marks readings of excursions of 1 to LONGEST readings that leave the course on both sides by more than the cutoff.
+def moves(b: Blocks, v: np.ndarray) -> np.ndarray:
+    """How far the level moves at each reading: between the medians of LEVEL readings before and from it on, which no
+    excursion of LONGEST readings turns."""
+    before = middle([b.shift(v, -o, np.inf) for o in range(1, LEVEL + 1)])
+    return np.nan_to_num(np.abs(middle([b.shift(v, o, np.inf) for o in range(LEVEL)]) - before))
 
-    The residual of an excursion is how far all of it lies beyond both medians, of the readings before and of those after;
-    slow changes, such as the daily course, and lasting changes of level leave none. The cutoff is the tail's, and not less
-    than what the source otherwise changes by: from reading to reading and from level to level.
-    """
-    b = Blocks(block)
-    residual, before = residuals(b, v, np.zeros(b.n, bool))
-    step = np.abs(v - b.shift(v, -1, np.nan))
-    level = np.abs(before - middle([b.shift(v, o, np.inf) for o in range(SIDE)]))
-    # readings inside long equal stretches would make the source look quieter than it is
-    same = step == 0
-    run = np.arange(b.n) - np.maximum.accumulate(np.where(same, 0, np.arange(b.n)))
-    ok = np.isfinite(step) & ~equal_stretch(run, STUCK // 2)
-    usual = b.quantile(step, 0.90, ok)
-    # of a source that mostly stands still and then steps, only the standing still has a tail to fit
-    tail = np.minimum(tail_cutoff(residual, b, ok & (residual <= 5 * usual[b.of])), 3.2 * usual)
-    cut = np.maximum(tail, np.maximum(2.6 * usual, 1.25 * b.quantile(step, 0.95, ok)))
-    # of such a source the usual changes of level count too, measured where no excursion is near
-    odd = np.flatnonzero(residual > cut[b.of])
-    far = np.ones(b.n, bool)
-    for k in range(-SIDE, SIDE + 1):
-        far[np.clip(odd + k, 0, b.n - 1)] = False
-    still = usual < 0.25 * b.quantile(step, 0.95, ok)
-    cut = np.maximum(cut, np.where(still, 1.25 * b.quantile(np.nan_to_num(level), 0.98, ok & far & np.isfinite(level)), 0))
-    enough = b.size >= 2 * SIDE + LONGEST
-    hit = (residual > cut[b.of]) & (residual > 0) & enough[b.of]
-    # once more without the marked readings in the medians: what stood out only against a spike beside it is none
+
+def cutoffs(b: Blocks, e: np.ndarray, residual: np.ndarray) -> np.ndarray:
+    """Per block what an excursion must exceed: at the fixed RISK neither the tail of the source's excursions nor that of its
+    lasting moves from level to level reaches it."""
+    moved = moves(b, e)
+    largest = moved > 0  # a move shows at all readings within LEVEL: its largest counts
+    for k in range(1, LEVEL + 1):
+        largest &= (moved > b.shift(moved, -k, -1.0)) & (moved >= b.shift(moved, k, -1.0))
+    every = np.ones(b.n, bool)
+    return np.maximum(tail_cutoff(residual, b, every, RESIDUAL_TAIL), tail_cutoff(moved, b, largest, MOVE_TAIL))
+
+
+def beyond(b: Blocks, e: np.ndarray, residual: np.ndarray, cut: np.ndarray) -> np.ndarray:
+    """Marks excursions beyond ``cut`` (a value a reading), and looks once more without the marked readings in the medians:
+    what stood out only against a spike beside it is none."""
+    hit = (residual > cut) & (residual > 0)
     near = np.zeros(b.n, bool)
     marked = np.flatnonzero(hit)
     for k in range(-2 * SIDE, 2 * SIDE + 1):
@@ -134,31 +172,97 @@ def spikes(block: np.ndarray, v: np.ndarray) -> np.ndarray:
     at = np.flatnonzero(near)  # all that the marked readings' medians see, stretch by stretch
     if len(at):
         stretch = np.cumsum(np.r_[0, (np.diff(at) > 1) | (b.of[at][1:] != b.of[at][:-1])])
-        hit[at] &= residuals(Blocks(stretch), v[at], hit[at])[0] > cut[b.of[at]]
-    # where the source mostly stands still, readings that stand still apart from it are a short plateau, but only as far off
-    # as it goes elsewhere, too
-    moves = np.maximum.reduceat(np.where(ok & far & np.isfinite(level), level, 0.0), b.first)
-    level_with = hit & (b.shift(hit, -1, False) > 0) & still[b.of] & (residual <= moves[b.of]) & (np.nan_to_num(step, nan=np.inf) <= 6 * b.quantile(step, 0.5, ok)[b.of])
-    return hit & ~level_with & ~(b.shift(level_with, 1, False) > 0)
+        hit[at] &= excursions(Blocks(stretch), e[at], hit[at]) > cut[at]
+    return hit
+
 
+def spikes(block: np.ndarray, ts: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(marks, cutoff of each block, seasonal coefficients of each block) of readings sorted by block and time.
 
-def equal_stretch(run: np.ndarray, least: int) -> np.ndarray:
-    """Marks readings of stretches of more than ``least`` equal ones but for the first. ``run`` counts from each change."""
-    first = np.flatnonzero(run == 0)
-    size = np.diff(np.r_[first, len(run)])
-    return np.repeat(size > least, size) & (run > 0) if len(first) and first[0] == 0 else np.zeros(len(run), bool)
+    A harmonic regression takes the season from each block. What is left is judged against its course on both sides, and
+    peaks over threshold of these residuals set the block's cutoff at the fixed RISK; see ``cutoffs``. Slow changes and
+    lasting changes of level leave no residual. Blocks of few readings have too few peaks for any to lie beyond the cutoff."""
+    b = Blocks(block)
+    beta = seasonal(b, ts, v)
+    e = without_season(ts, v, beta[b.of])
+    residual = excursions(b, e)
+    cut = cutoffs(b, e, residual)
+    return beyond(b, e, residual, cut[b.of]), cut, beta
+
+
+#: What ``judge`` finds, as rows of one table: times of impossible readings and of spikes, parts of equal stretches, edges.
+IMPOSSIBLE, SPIKE, STRETCH, BORDER = range(4)
+FOUND = "kind int, tid int, blk int, first_ms long, last_ms long, v float, n long, at_first boolean, at_last boolean, times array<long>, vals array<double>, fit array<double>"
+SCHEMA = pa.schema([("kind", pa.int32()), ("tid", pa.int32()), ("blk", pa.int32()), ("first_ms", pa.int64()), ("last_ms", pa.int64()), ("v", pa.float32()), ("n", pa.int64()), ("at_first", pa.bool_()), ("at_last", pa.bool_()), ("times", pa.list_(pa.int64())), ("vals", pa.list_(pa.float64())), ("fit", pa.list_(pa.float64()))])
+
+
+class Found:
+    """Rows of FOUND, kept as columns."""
+
+    def __init__(self):
+        self.rows: list[tuple] = []
+
+    def add(self, kind: int, tid: int, blk: int, times: np.ndarray, vals=None, fit=None, first=None, last=None, v=None, n=None, at_first=None, at_last=None) -> None:
+        self.rows.append((kind, tid, blk, first, last, v, n, at_first, at_last, times, vals, fit))
+
+    def batch(self) -> pa.RecordBatch:
+        cols = list(zip(*self.rows)) if self.rows else [()] * len(SCHEMA)
+        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, SCHEMA)], schema=SCHEMA)
+
+
+def judged(tid: np.ndarray, blk: np.ndarray, ts: np.ndarray, v: np.ndarray, bad: np.ndarray) -> pa.RecordBatch:
+    """Of whole blocks, sorted by (tid, blk, ts, v). ``blk`` is -1 for a source of one block; ``v`` is NaN where unusable."""
+    once = np.r_[(tid[1:] != tid[:-1]) | (ts[1:] != ts[:-1]), True]  # the last copy has the largest usable value
+    tid, blk, ts, v, bad = tid[once], blk[once], ts[once], v[once], bad[once]
+    out = Found()
+    key = tid.astype(np.int64) << 32 | (blk.astype(np.int64) & 0xFFFFFFFF)
+    b = Blocks(key)
+    for k in np.unique(b.of[bad]):
+        of = slice(b.first[k], b.first[k] + b.size[k])
+        out.add(IMPOSSIBLE, int(tid[b.first[k]]), int(blk[b.first[k]]), ts[of][bad[of]])
+    stretches(out, b, tid, blk, ts, v)
+    good = ~bad & ~np.isnan(v)
+    if good.any():
+        tid, blk, ts, v, key = tid[good], blk[good], ts[good], v[good].astype(float), key[good]
+        hit, cut, beta = spikes(key, ts, v)
+        b = Blocks(key)
+        at = np.arange(b.n) - b.first[b.of]
+        single = blk < 0
+        inner = single | ((at >= EDGE) & (at < b.size[b.of] - EDGE) & (b.size[b.of] > 4 * EDGE))
+        hit &= inner
+        for k in np.unique(b.of[hit]):
+            of = slice(b.first[k], b.first[k] + b.size[k])
+            out.add(SPIKE, int(tid[b.first[k]]), int(blk[b.first[k]]), ts[of][hit[of]])
+        for k in np.flatnonzero(~single[b.first]):
+            i, j = b.first[k], b.first[k] + b.size[k]
+            keep = np.r_[i : i + 2 * EDGE, j - 2 * EDGE : j] if b.size[k] > 4 * EDGE else np.r_[i:j]
+            out.add(BORDER, int(tid[i]), int(blk[i]), ts[keep], v[keep], np.r_[cut[k], beta[k]], int(ts[i]), int(ts[j - 1]), n=int(b.size[k]))
+    return out.batch()
+
+
+def stretches(out: Found, b: Blocks, tid: np.ndarray, blk: np.ndarray, ts: np.ndarray, v: np.ndarray) -> None:
+    """Adds stretches of one exact value: those at an edge of their block, those of at least STUCK readings, and of the others
+    the longest of each block. Unusable readings stand alone."""
+    same = np.r_[False, (v[1:] == v[:-1]) & (b.of[1:] == b.of[:-1])]
+    first = np.flatnonzero(~same)
+    size = np.diff(np.r_[first, b.n])
+    of = b.of[first]
+    at_first, at_last = first == b.first[of], first + size == (b.first + b.size)[of]
+    usable = ~np.isnan(v[first])
+    inner = np.flatnonzero(usable & ~at_first & ~at_last & (size < STUCK))
+    o = inner[np.lexsort((size[inner], of[inner]))]
+    longest = o[np.r_[of[o][1:] != of[o][:-1], True]] if len(o) else o
+    keep = np.flatnonzero(at_first | at_last | (usable & (size >= STUCK)))
+    for k in np.sort(np.r_[keep, longest]):
+        i, j = first[k], first[k] + size[k]
+        held = ts[i:j] if usable[k] and (size[k] >= STUCK or blk[i] >= 0) else ts[i:i]
+        out.add(STRETCH, int(tid[i]), int(blk[i]), held, None, None, int(ts[i]), int(ts[j - 1]), float(v[i]) if usable[k] else None, int(size[k]), bool(at_first[k]), bool(at_last[k]))
 
 
 def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Batches sorted by (tid, blk, ts_ms) to flagged (tid, ts_ms). Blocks are judged many at a time."""
+    """Batches sorted by (tid, blk, ts_ms, v) to rows of FOUND. Many blocks are judged at a time."""
     held: list[tuple[np.ndarray, ...]] = []
     rows = 0
-
-    def flagged(cols: tuple[np.ndarray, ...]) -> pa.RecordBatch:
-        tid, blk, ts, v, own = cols
-        hit = spikes(tid.astype(np.int64) << 32 | blk.astype(np.int64), v.astype(float)) & own
-        return pa.RecordBatch.from_arrays([pa.array(tid[hit], pa.int32()), pa.array(ts[hit], pa.int64())], names=["tid", "ts_ms"])
-
     for x in batches:
         if not x.num_rows:
             continue
@@ -167,53 +271,106 @@ def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if rows >= 1 << 18:
             cols = tuple(map(np.concatenate, zip(*held)))
             tid, blk = cols[0], cols[1]
-            cut = int(np.flatnonzero((tid != tid[-1]) | (blk != blk[-1]))[-1]) + 1 if (tid[0], blk[0]) != (tid[-1], blk[-1]) else 0
+            other = np.flatnonzero((tid != tid[-1]) | (blk != blk[-1]))
+            cut = int(other[-1]) + 1 if len(other) else 0
             if cut:
-                yield flagged(tuple(c[:cut] for c in cols))
+                yield judged(*(c[:cut] for c in cols))
             held, rows = [tuple(c[cut:] for c in cols)], len(tid) - cut
     if rows:
-        yield flagged(tuple(map(np.concatenate, zip(*held))))
-
-
-def stuck(runs: DataFrame) -> DataFrame:
-    """Of exact runs (tid, start_ms, end_ms, n): the stuck ones. Per tid, run lengths are gone through from the longest
-    down; those at least STUCK long above the last one that is STUCK_TIMES the next are stuck."""
-    sizes = runs.where("start_v is not null").groupBy("tid", "n").agg(F.count(F.lit(1)).alias("c"))
-    w = Window.partitionBy("tid").orderBy(F.desc("n"))  # distinct lengths only: fewer than the root of twice the readings
-    sizes = sizes.withColumn("next", F.coalesce(F.lead("n").over(w), F.lit(0)))
-    least = sizes.where((F.col("n") >= STUCK) & (F.col("n") >= STUCK_TIMES * F.col("next"))).groupBy("tid").agg(F.min("n").alias("least"))
-    return runs.where((F.col("n") >= STUCK) & F.col("start_v").isNotNull()).join(least, "tid").where("n >= least").select("tid", "start_ms", "end_ms")
+        yield judged(*map(np.concatenate, zip(*held)))
 
 
-def implausible(df: DataFrame, series: DataFrame, limits: DataFrame, bucket_ms: int = BUCKET_MS) -> DataFrame:
+def at_borders(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (tid, times, vals, n, fit, before_t, before_v, after_t, after_v) of blocks with the readings next to them, to
+    (tid, ts_ms) of the spikes that ``judged`` left open."""
+    for x in batches:
+        owner, ts, v, own, fits, tids = [], [], [], [], [], []
+        for r in x.to_pylist():
+            t, y = np.array(r["times"], np.int64), np.array(r["vals"], float)
+            lt, lv, rt, rv = (np.array(r[c] or [], k) for c, k in (("before_t", np.int64), ("before_v", float), ("after_t", np.int64), ("after_v", float)))
+            parts = [(t, y, 0, len(t))] if r["n"] <= 4 * EDGE else [(t[: 2 * EDGE], y[: 2 * EDGE], 0, EDGE), (t[2 * EDGE :], y[2 * EDGE :], EDGE, 2 * EDGE)]
+            for k, (pt, pv, lo, hi) in enumerate(parts):
+                left = (lt, lv) if k == 0 else (lt[:0], lv[:0])
+                right = (rt, rv) if k == len(parts) - 1 else (rt[:0], rv[:0])
+                mine = np.zeros(len(left[0]) + len(pt) + len(right[0]), bool)
+                mine[len(left[0]) + lo : len(left[0]) + hi] = True
+                ts.append(np.r_[left[0], pt, right[0]]), v.append(np.r_[left[1], pv, right[1]]), own.append(mine)
+                owner.append(np.full(len(mine), len(owner))), fits.append(r["fit"]), tids.append(r["tid"])
+        if not owner:
+            continue
+        of, ts, v, own = (np.concatenate(c) for c in (owner, ts, v, own))
+        fit = np.array(fits)[of]
+        b = Blocks(of)
+        e = without_season(ts, v, fit[:, 1:])
+        hit = beyond(b, e, excursions(b, e), fit[:, 0]) & own
+        yield pa.RecordBatch.from_arrays([pa.array(np.array(tids, np.int32)[of[hit]], pa.int32()), pa.array(ts[hit], pa.int64())], names=["tid", "ts_ms"])
+
+
+def border_spikes(found: DataFrame) -> DataFrame:
+    """(tid, ts_ms): spikes near the edges of blocks, judged with the block's own fit and the readings beyond the edge. One row
+    a block is ordered within its source."""
+    w = Window.partitionBy("tid").orderBy("blk")
+    pairs = F.arrays_zip("times", "vals")
+    near = lambda frame: F.flatten(F.collect_list(pairs).over(frame))
+    x = found.where(F.col("kind") == BORDER).select("tid", "blk", "times", "vals", "n", "fit", near(w.rowsBetween(-REACH, -1)).alias("l"), near(w.rowsBetween(1, REACH)).alias("r"))
+    x = x.withColumns({"l": F.slice("l", F.greatest(F.size("l") - 2 * EDGE + 1, F.lit(1)), 2 * EDGE), "r": F.slice("r", 1, 2 * EDGE)})
+    x = x.select("tid", "times", "vals", "n", "fit", *[F.col(f"{s}.{c}").alias(f"{name}_{c[0]}") for s, name in (("l", "before"), ("r", "after")) for c in ("times", "vals")])
+    return x.mapInArrow(at_borders, "tid int, ts_ms long")
+
+
+def stuck(found: DataFrame) -> DataFrame:
+    """(tid, ts_ms): readings of stuck stretches. Parts at the edges of successive blocks are chained first. Per tid, lengths
+    are gone through from the longest down; those at least STUCK long above the last one that is STUCK_TIMES the next are
+    stuck."""
+    c = F.col
+    w = Window.partitionBy("tid").orderBy("first_ms")  # a few rows a block
+    parts = found.where(c("kind") == STRETCH).select("tid", "first_ms", "v", "n", "at_first", "at_last", "times")
+    before = F.lag(F.struct("v", "at_last")).over(w)
+    parts = parts.withColumn("p", before)
+    joins = c("at_first") & F.coalesce(c("p")["at_last"] & (c("p")["v"] == c("v")), F.lit(False))
+    parts = parts.withColumn("chain", F.sum(F.when(joins, 0).otherwise(1)).over(w))
+    parts = parts.withColumn("total", F.sum("n").over(Window.partitionBy("tid", "chain"))).where("v is not null").select("tid", "total", "times")
+    parts = written(parts, "stretches")  # a few rows a block, read twice
+    sizes = parts.select("tid", "total").distinct()
+    sizes = sizes.withColumn("next", F.coalesce(F.lead("total").over(Window.partitionBy("tid").orderBy(F.desc("total"))), F.lit(0)))
+    least = sizes.where((c("total") >= STUCK) & (c("total") >= STUCK_TIMES * c("next"))).groupBy("tid").agg(F.min("total").alias("least"))
+    return parts.join(least, "tid").where("total >= least").select("tid", F.explode("times").alias("ts_ms"))
+
+
+def implausible(df: DataFrame, series: DataFrame, limits: DataFrame, block: int = BLOCK) -> DataFrame:
     """(tid, ts_ms, impossible, spike, stuck): every usable reading that is at least one of the three, once.
 
     *Impossible* lies outside the limits of its series' measure; without a known measure or limit there is none. *Stuck*
     belongs to a stretch of one exact value of at least STUCK readings, STUCK_TIMES as long as any stretch of the tid that
-    isn't stuck. *Spike*: see ``spikes``; impossible readings don't count there, and sources of fewer than 13 other
-    readings have none. Copies of a reading count once, unusable readings are never flagged, an empty table gives no rows.
-
-    Each reading gets its rank within the source from ranks in time buckets; blocks of BLOCK ranks with HALO ranks of
-    context are judged apart, so a hot source is spread over many tasks and its normal behaviour is that around the reading.
+    isn't stuck. *Spike*: see ``spikes``; impossible readings don't count there. Copies of a reading count once (of differing
+    ones the largest usable value), unusable readings are never flagged, rows with a null tid or timestamp are left out, an
+    empty table gives no rows.
+
+    A first look counts readings and their span by source. A source is then cut into blocks of equal time that hold about
+    ``block`` readings each, so a hot source is spread over many tasks and its normal behaviour is that around the reading. One
+    exchange brings the readings of a block together; that pass finds all but what crosses the edges of blocks, for which
+    it leaves a few readings and stretches a block.
     """
-    bounds = series.where("tid is not null").select("tid", "measure").join(F.broadcast(limits.select("measure", "low", "high")), "measure").groupBy("tid").agg(F.max("low").alias("low"), F.min("high").alias("high"))
-    rows = readings(df, "tid", "timestamp", "value", bucket_ms)
-    known = with_source(rows.where("v is not null"), bounds, "tid", "left")
-    known = known.withColumn("impossible", F.coalesce((F.col("v") < F.col("low")) | (F.col("v") > F.col("high")), F.lit(False)))
-    bad = known.where("impossible").select("tid", "ts_ms", F.lit("impossible").alias("why"))
-
-    good = known.where(~F.col("impossible")).select("tid", "b", "ts_ms", "v")
-    ranked = with_carry(good, "tid", "ts_ms", []).select("tid", "ts_ms", "v", "pos")
-    own, at = F.floor(F.col("pos") / BLOCK).cast("int"), F.col("pos") % BLOCK
-    near = F.array_compact(F.array(own, F.when((at < HALO) & (own > 0), own - 1), F.when(at >= BLOCK - HALO, own + 1)))
-    spread = ranked.select("tid", "ts_ms", "v", own.alias("own"), F.explode(near).alias("blk"))
-    spread = spread.select("tid", "blk", "ts_ms", "v", (F.col("own") == F.col("blk")).alias("own")).repartition("tid", "blk").sortWithinPartitions("tid", "blk", "ts_ms")
-    spiky = spread.mapInArrow(judge, "tid int, ts_ms long").withColumn("why", F.lit("spike"))
-
-    long = stuck(chain_runs(boundary_runs(rows, "tid", 0, None), "tid", 0, None))
-    step = F.lit(bucket_ms)
-    long = long.withColumn("b", F.explode(F.sequence(F.floor(F.col("start_ms") / step).cast("int"), F.floor(F.col("end_ms") / step).cast("int"))))
-    held = rows.join(long, ["tid", "b"]).where("ts_ms between start_ms and end_ms").select("tid", "ts_ms", F.lit("stuck").alias("why"))
-
-    flags = bad.unionByName(spiky).unionByName(held)
-    return flags.groupBy("tid", "ts_ms").agg(*[F.max(F.col("why") == w).alias(w) for w in ("impossible", "spike", "stuck")])
+    tid, ts = F.col("tid").cast("int"), millis("timestamp")
+    rows = df.select(tid.alias("tid"), ts.alias("ts_ms"), F.col("value").cast("float").alias("v")).where("tid is not null and ts_ms is not null")
+    span = rows.groupBy("tid").agg(F.count(F.lit(1)).alias("many"), F.min("ts_ms").alias("lo"), F.max("ts_ms").alias("hi"))
+    known = limits.where("measure is not null").groupBy("measure").agg(F.max("low").alias("low"), F.min("high").alias("high"))
+    bounds = series.where("tid is not null").select(tid.alias("tid"), "measure").join(known, "measure").groupBy("tid").agg(F.max("low").alias("low"), F.min("high").alias("high"))
+    pieces = F.ceil(F.col("many") / block)
+    source = span.join(bounds, "tid", "left").select("tid", "low", "high", "lo", pieces.alias("pieces"), F.ceil((F.col("hi") - F.col("lo") + 1) / pieces).alias("width"))
+    source = written(source, "sources")  # a row a source, counted and read again
+    rows = with_source(rows, source, "tid")
+    v = F.when(F.isnan("v"), None).otherwise(F.col("v"))
+    bad = F.coalesce((v < F.col("low")) | (v > F.col("high")), F.lit(False))
+    blk = F.when(F.col("pieces") == 1, -1).otherwise(F.floor((F.col("ts_ms") - F.col("lo")) / F.col("width"))).cast("int")
+    rows = rows.select("tid", blk.alias("blk"), "ts_ms", v.alias("v"), bad.alias("bad"))
+    placed = rows.repartition("tid", "blk").sortWithinPartitions("tid", "blk", "ts_ms", "v")
+    found = written(placed.mapInArrow(judge, FOUND), "judged")  # small, read by what follows
+
+    one = lambda kind: found.where(F.col("kind") == kind).select("tid", F.explode("times").alias("ts_ms"))
+    flags = {"impossible": one(IMPOSSIBLE), "spike": one(SPIKE).unionByName(border_spikes(found)), "stuck": stuck(found)}
+    every = None
+    for why, x in flags.items():
+        x = x.withColumn("why", F.lit(why))
+        every = x if every is None else every.unionByName(x)
+    return every.groupBy("tid", "ts_ms").agg(*[F.max(F.col("why") == w).alias(w) for w in flags])

@@ -151,10 +151,10 @@ def test_schedule_is_balanced():
     assert compaction.schedule({}, 3) == {}
 
 
-def judged(spark, rows, bucket=10**6):
+def judged(spark, rows, block=8192):
     series = spark.createDataFrame([(1, "m"), (2, None)], "tid int, measure string")
     limits = spark.createDataFrame([("m", 0.0, 1000.0)], "measure string, low double, high double")
-    return {(r["tid"], r["ts_ms"]): (r["impossible"], r["spike"], r["stuck"]) for r in spikes.implausible(readings_frame(spark, rows), series, limits, bucket).collect()}
+    return {(r["tid"], r["ts_ms"]): (r["impossible"], r["spike"], r["stuck"]) for r in spikes.implausible(readings_frame(spark, rows), series, limits, block).collect()}
 
 
 def test_implausible_kinds(spark):
@@ -165,26 +165,54 @@ def test_implausible_kinds(spark):
     v[500:512] = 140.25  # an ordinary plateau
     rows = [(1, k * 1000, float(x)) for k, x in enumerate(v)] + [(2, k * 1000, float(x)) for k, x in enumerate(v)]
     rows += rows[95:105] + [(1, 10**7, None), (1, 10**7 + 1, NAN), (3, 5, 1.0)]
-    got = judged(spark, rows, 70_000)
+    got = judged(spark, rows)
     want = {100: (False, True, False), **{k: (False, True, False) for k in (200, 201, 202)}, **{k: (False, False, True) for k in range(400, 450)}}
     assert {k[1] // 1000: x for k, x in got.items() if k[0] == 1} == {**want, 50: (True, False, False)}
     assert {k[1] // 1000 for k in got if k[0] == 2} == {*want, 50}
     assert judged(spark, [(1, 1, None)]) == {} and judged(spark, [(1, 1, 5.0)]) == {}
 
 
-def test_blocks_agree_with_one_block(spark, monkeypatch):
+def test_blocks_agree_with_one_block(spark):
     rng = np.random.default_rng(8)
     v = 50 + rng.normal(0, 1, 3000)
     at = rng.choice(np.arange(20, 2980, 30), 25, replace=False)
     v[at] += 25
     rows = [(1, k * 1000, float(x)) for k, x in enumerate(v)]
-    monkeypatch.setattr(spikes, "BLOCK", 256), monkeypatch.setattr(spikes, "HALO", 128)
-    assert {k[1] // 1000 for k in judged(spark, rows)} == set(at.tolist())
+    for block in (8192, 512, 128):
+        assert {k[1] // 1000 for k in judged(spark, rows, block)} == set(at.tolist())
 
 
 def test_stuck_lengths(spark):
-    df = spark.createDataFrame([(1, 0, 0, 1.0, 400), (1, 1, 1, 1.0, 90), (1, 2, 2, 1.0, 20), (2, 0, 0, 1.0, 60), (2, 1, 1, 1.0, 16), (3, 0, 0, 1.0, 39), (4, 0, 0, 1.0, 50), (4, 1, 1, 2.0, 50)], "tid int, start_ms long, end_ms long, start_v float, n long")
-    assert {(r["tid"], r["start_ms"]) for r in spikes.stuck(df).collect()} == {(1, 0), (1, 1), (4, 0), (4, 1)}
+    runs = [(1, 0, 400), (1, 1000, 90), (1, 2000, 20), (2, 0, 60), (2, 1000, 16), (3, 0, 39), (4, 0, 50), (4, 1000, 50)]
+    rows = [(spikes.STRETCH, t, -1, a, a + n - 1, 1.0, n, False, False, [a], None, None) for t, a, n in runs]
+    assert {(r["tid"], r["ts_ms"]) for r in spikes.stuck(spark.createDataFrame(rows, spikes.FOUND)).collect()} == {(1, 0), (1, 1000), (4, 0), (4, 1000)}
+
+
+def test_stuck_across_blocks(spark):
+    rng = np.random.default_rng(6)
+    v = 50 + rng.normal(0, 1, 900)
+    v[170:430] = 51.5  # spans several blocks of 64
+    v[600:640] = 49.5
+    rows = [(1, k * 1000, float(x)) for k, x in enumerate(v)]
+    for block in (64, 8192):
+        assert {k[1] // 1000 for k, x in judged(spark, rows, block).items() if x[2]} == {*range(170, 430), *range(600, 640)}
+    rows[300] = (1, 300_000, None)  # an unusable reading ends the stretch: 130 and 129 are both stuck
+    assert {k[1] // 1000 for k, x in judged(spark, rows, 64).items() if x[2]} == {*range(170, 300), *range(301, 430), *range(600, 640)}
+
+
+def test_risk_moves_the_cutoff():
+    """Of ordinary readings about the share RISK lies beyond the cutoff."""
+    rng = np.random.default_rng(7)
+    n = 400_000
+    v, ts, block = rng.normal(0, 1, n) + 5 * np.sin(np.arange(n) / 50), np.arange(n) * 60_000, np.arange(n) // 8000
+    beyond = {}
+    for risk in (1e-2, 1e-3, 1e-4, 1e-9):
+        old, spikes.RISK = spikes.RISK, risk
+        try:
+            beyond[risk] = int(spikes.spikes(block, ts, v)[0].sum())
+        finally:
+            spikes.RISK = old
+    assert n * 1e-2 / 3 < beyond[1e-2] < n * 1e-2 * 3 and n * 1e-3 / 4 < beyond[1e-3] < n * 1e-3 * 4 and beyond[1e-4] < n * 1e-4 * 5 and beyond[1e-9] <= 1
 
 
 @pytest.mark.parametrize("held", [2, 3])
@@ -193,4 +221,4 @@ def test_held_spike_of_a_still_source(held):
     rng = np.random.default_rng(2)
     v = np.where(np.arange(140) // 14 % 2, 29.44, 24.22) + rng.choice([0, 0.01], 140)
     v[62 : 62 + held] = 47.7
-    assert np.flatnonzero(spikes.spikes(np.zeros(140, np.int64), v)).tolist() == list(range(62, 62 + held))
+    assert np.flatnonzero(spikes.spikes(np.zeros(140, np.int64), np.arange(140) * 60_000, v)[0]).tolist() == list(range(62, 62 + held))
