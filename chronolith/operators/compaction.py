@@ -4,25 +4,31 @@ from __future__ import annotations
 
 import heapq
 import json
-import os
 import uuid
 from collections.abc import Iterator
-from urllib.parse import urlparse
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import pyarrow.parquet as pq
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from chronolith.operators.readings import BROADCAST_ROWS
+from chronolith.session import written
+from chronolith.sources.files import Files, arrow_filesystem
+
 KEY = ["gid", "start_ms", "end_ms", "mtid", "model", "gaps"]
-#: Files are bundled by a hash of their names before they are scheduled, so that the scheduler's memory is bounded.
-BUNDLES = 16384
-#: Cost of opening a file, in bytes of reading.
-OPEN_BYTES = 65536
+ORDER = ["gid", "start_ms", "end_ms", "mtid", "model", "gaps"]
+#: Files are bundled by a hash of their names before they are scheduled: at least so many bundles, and at least so many a
+#: group, so that loads come out even. The driver holds two numbers a bundle.
+BUNDLES, BUNDLES_A_GROUP = 4096, 4
+#: Rows of one row group, and the rows that a writer holds at most.
+ROW_GROUP = 1 << 17
+SCHEMA = "gid int, start_time timestamp_ntz, end_time timestamp_ntz, mtid int, model binary, gaps binary, copies long"
 
 
-def schedule(weights: dict[int, int], groups: int) -> dict[int, int]:
+def schedule(weights: dict, groups: int) -> dict:
     """Longest first: each item goes to the group with the least load so far. Ties go to the lower number."""
     heap = [(0, g) for g in range(max(1, groups))]
     out = {}
@@ -41,122 +47,126 @@ def records(segments: DataFrame) -> DataFrame:
         F.col("model").cast("binary"), F.coalesce(F.col("gaps").cast("binary"), F.lit(b"")).alias("gaps"), F.col("file_name"))
 
 
-def grouped(segments: DataFrame, files: DataFrame, target_bytes: int, max_groups: int = 4096) -> DataFrame:
-    """(record columns, copies): the input files are assigned to fixed groups by ``schedule`` and each group is streamed
-    through pyarrow in one task, which sorts it and merges copies inside it.
-
-    Sizes come from ``files``; where a size is missing or the file isn't listed, from the rows that name it. A bundle of
-    more than ``target_bytes`` is split by a hash of its records, so that no task holds more than about two targets and
-    copies still meet. At most BUNDLES weights reach the driver.
-    """
-    rec = records(segments)
-    name = F.coalesce(F.col("file_name"), F.lit(""))
-    rec = rec.withColumn("bundle", F.pmod(F.xxhash64(name), F.lit(BUNDLES)).cast("int"))
-    row_bytes = 40 + F.coalesce(F.octet_length("model"), F.lit(0)) + F.octet_length("gaps")
-    seen = rec.groupBy("bundle").agg(F.sum(row_bytes).alias("seen"))
-    listed = files.withColumn("bundle", F.pmod(F.xxhash64(F.coalesce(F.col("file_name"), F.lit(""))), F.lit(BUNDLES)).cast("int"))
-    listed = listed.groupBy("bundle").agg(F.sum(F.coalesce(F.col("n_bytes"), F.lit(0)) + OPEN_BYTES).alias("listed"))
-    sizes = seen.join(listed, "bundle", "left").select("bundle", "seen", F.greatest("seen", F.coalesce("listed", F.lit(0))).alias("weight")).collect()
-    total = sum(r["weight"] for r in sizes)
-    groups = min(max_groups, max(1, -(-total // target_bytes)))
-    to = schedule({r["bundle"]: r["weight"] for r in sizes}, groups)
-    parts = {r["bundle"]: -(-r["seen"] // target_bytes) for r in sizes}
-    plan = rec.sparkSession.createDataFrame([(b, g, int(parts[b])) for b, g in to.items()], "bundle int, grp int, parts int") if to else rec.sparkSession.createDataFrame([], "bundle int, grp int, parts int")
-    # at most BUNDLES rows of three integers
-    rec = rec.join(F.broadcast(plan), "bundle").withColumn("part", F.pmod(F.xxhash64(*[c for c in KEY]), F.greatest("parts", F.lit(1))))
-    rec = rec.select(*KEY, "grp", "part").repartition(int(groups), "grp", "part")
-
-    def stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = None
-        held: list[pa.RecordBatch] = []
-        for b in batches:
-            names = b.schema
-            held.append(b)
-        if not held:
-            return
-        t = pa.Table.from_batches(held, names).select(KEY)
-        # pyarrow groups by binary columns as they are
-        t = t.group_by(KEY).aggregate([([], "count_all")]).select([*KEY, "count_all"]).rename_columns([*KEY, "copies"])
-        t = t.sort_by([(c, "ascending") for c in ("gid", "start_ms", "end_ms", "mtid")])
-        yield from t.combine_chunks().to_batches(max_chunksize=65536)
+def fingerprint() -> "F.Column":
+    """A number of a record that sums without overflow over 2^31 rows."""
+    return F.xxhash64(*KEY).bitwiseAND(F.lit(0x7FFFFFFF))
 
-    return rec.mapInArrow(stream, "gid int, start_ms long, end_ms long, mtid int, model binary, gaps binary, copies long")
 
+def resolved(segments: DataFrame) -> DataFrame:
+    """(record columns, copies, file_name): every record once, in the first by name of the files that hold it, with the number
+    of rows that held it. Null fields equal null fields."""
+    return records(segments).groupBy(*KEY).agg(F.count(F.lit(1)).alias("copies"), F.min("file_name").alias("file_name"))
 
-def distinct_records(segments: DataFrame, files: DataFrame, target_bytes: int = 64 << 20) -> DataFrame:
-    """(gid, start_ms, end_ms, mtid, model, gaps, copies): every record once, with the number of rows that held it.
-    Null fields equal null fields. Copies that stand in files of different groups meet here."""
-    return grouped(segments, files, target_bytes).groupBy(*KEY).agg(F.sum("copies").alias("copies"))
 
+def scheduled(rec: DataFrame, target_bytes: int) -> tuple[DataFrame, dict]:
+    """``rec`` with ``grp``, the output group of its file by ``schedule``, and the loads of the groups.
 
-def local_path(uri: str) -> str:
-    return urlparse(uri).path if uri.startswith("file:") else uri
+    A file's weight is what the records that it still holds take in memory; sizes in a listing are missing here and there, and
+    count copies that have gone. A bundle of more than ``target_bytes``, as a hot file makes it, is split by a hash of its
+    records.
+    """
+    spark = rec.sparkSession
+    row_bytes = 40 + F.coalesce(F.octet_length("model"), F.lit(0)) + F.octet_length("gaps")
+    total = rec.agg(F.sum(row_bytes)).first()[0] or 0
+    groups = max(1, -(-total // target_bytes))
+    bundles = max(BUNDLES, BUNDLES_A_GROUP * groups)
+    bundle = F.pmod(F.xxhash64(F.coalesce(F.col("file_name"), F.lit(""))), F.lit(bundles)).cast("int")
+    got = rec.groupBy(bundle.alias("bundle")).agg(F.sum(row_bytes).alias("w")).toArrow()
+    items: dict[tuple[int, int], int] = {}
+    for b, w in zip(got["bundle"].to_pylist(), got["w"].to_pylist()):
+        parts = max(1, -(-w // target_bytes))
+        items.update({(b, p): w // parts for p in range(parts)})
+    to = schedule(items, groups)
+    load = np.bincount(np.array(list(to.values()), int), [items[i] for i in to], minlength=groups) if to else np.zeros(groups)
+    plan = pa.table({"bundle": pa.array([b for b, _ in to], pa.int32()), "part": pa.array([p for _, p in to], pa.int32()), "grp": pa.array(list(to.values()), pa.int32())})
+    plan = spark.createDataFrame(plan)
+    parts = plan.groupBy("bundle").agg(F.count(F.lit(1)).alias("parts"))
+    small = len(to) <= BROADCAST_ROWS
+    hint = F.broadcast if small else (lambda x: x)
+    rec = rec.withColumn("bundle", bundle).join(hint(parts), "bundle").withColumn("part", F.pmod(F.xxhash64(*KEY), F.col("parts")).cast("int"))
+    return rec.join(hint(plan), ["bundle", "part"]).drop("bundle", "part", "parts"), {"groups": int(groups), "largest": int(load.max()), "mean": float(load.mean())}
 
 
 def compact(segments: DataFrame, files: DataFrame, out: str, target_bytes: int = 128 << 20) -> dict:
-    """Writes every record once, ordered by gid and start_time across the files, into few files of about ``target_bytes``
-    under ``out`` and publishes them by an atomic rename of the manifest. Returns the manifest.
-
-    ``out`` is a folder that all executors mount. Each task writes one range of (gid, start) under a name of its own
-    attempt, so a task that is run again leaves a file that no manifest names. Before publishing, the manifest's rows,
-    copies and order-free hash are compared with those of the input; on a difference nothing is published. Readers use
-    ``read_compacted``. An empty input publishes an empty manifest.
+    """Writes every record once into few files of about ``target_bytes`` in memory, each ordered by gid and start_time, under
+    the folder ``out`` of any file system, and publishes them by an atomic replacement of the manifest. Returns the manifest.
+
+    Copies of a record are resolved first and counted in the column ``copies``. The files that then hold records are assigned
+    to a fixed number of output groups, longest first to the least-loaded one. Rows go to the task of their group's number, are
+    sorted there and streamed through pyarrow into one file, row group by row group. Each task writes under a name of its own
+    attempt, so a task that is run again leaves a file that no manifest names. Before publishing, rows, copies and an
+    order-free sum of fingerprints of what was written are compared with those of the input; on a difference nothing is
+    published. ``files`` lists the input files, for the manifest's count. Readers use ``read_compacted``. An empty input publishes an empty manifest.
     """
-    out = local_path(out)
     spark = segments.sparkSession
-    from chronolith.session import written
-
-    rec = written(distinct_records(segments, files, target_bytes), "compaction")
-    size = rec.agg(F.sum(40 + F.coalesce(F.octet_length("model"), F.lit(0)) + F.octet_length("gaps"))).first()[0] or 0
-    n = max(1, -(-size // target_bytes))
-    run = uuid.uuid4().hex
-    os.makedirs(out, exist_ok=True)
-    order = ["gid", "start_ms", "end_ms", "mtid"]
-    placed = rec.withColumn("h", F.xxhash64(*KEY)).repartitionByRange(int(n), *order).sortWithinPartitions(*order, "model", "gaps")
+    place = Files(spark, out)
+    rec = written(resolved(segments), "resolved")
+    rec, loads = scheduled(rec, target_bytes)
+    run, root = uuid.uuid4().hex, place.root
+    rec = rec.select(*KEY, "copies", fingerprint().alias("h"), "grp")
+    # by the group's number itself: a hash of it would undo the balance
+    placed = rec.repartitionById(loads["groups"], F.col("grp")).sortWithinPartitions(*ORDER)
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        path = os.path.join(out, f"part-{run}-{uuid.uuid4().hex}.parquet")
-        writer, rows, copies, h, lo, hi = None, 0, 0, 0, None, None
+        fs, folder = arrow_filesystem(root)
+        name = f"part-{run}-{uuid.uuid4().hex}.parquet"
+        path, writer, stats, held, n = f"{folder.rstrip('/')}/{name}", None, None, [], 0
+
+        def flush() -> None:
+            nonlocal writer, held, n
+            t = pa.Table.from_batches(held)
+            body = pa.table({
+                "gid": t["gid"], "start_time": t["start_ms"].cast(pa.timestamp("ms")), "end_time": t["end_ms"].cast(pa.timestamp("ms")),
+                "mtid": t["mtid"], "model": t["model"], "gaps": t["gaps"], "copies": t["copies"]})
+            writer = writer or pq.ParquetWriter(fs.open_output_stream(path), body.schema, compression="zstd")
+            writer.write_table(body, row_group_size=ROW_GROUP)
+            held, n = [], 0
+
         for b in batches:
             if not b.num_rows:
                 continue
-            t = pa.Table.from_batches([b])
-            body = pa.table({
-                "gid": t["gid"], "start_time": t["start_ms"].cast(pa.timestamp("ms")), "end_time": t["end_ms"].cast(pa.timestamp("ms")),
-                "mtid": t["mtid"], "model": t["model"], "gaps": t["gaps"]})
-            writer = writer or pq.ParquetWriter(path + ".tmp", body.schema, compression="zstd")
-            writer.write_table(body, row_group_size=1 << 17)
-            rows, copies = rows + b.num_rows, copies + pc.sum(t["copies"]).as_py()
-            h = (h + sum(x & 0xFFFFFFFF for x in t["h"].to_pylist())) % (1 << 62)
-            at = [(t["gid"][i].as_py(), t["start_ms"][i].as_py()) for i in (0, -1)]
-            lo, hi = lo or at[0], at[1]
+            copies = b.column("copies")
+            ends = [(b.column("gid")[i].as_py(), b.column("start_ms")[i].as_py()) for i in (0, b.num_rows - 1)]
+            was = stats or {"rows": 0, "copies": 0, "h": 0, "first_gid": ends[0][0], "first_ms": ends[0][1]}
+            stats = {**was, "rows": was["rows"] + b.num_rows, "copies": was["copies"] + pc.sum(copies).as_py(), "h": was["h"] + pc.sum(pc.multiply(b.column("h"), copies)).as_py(), "last_gid": ends[1][0], "last_ms": ends[1][1]}
+            held.append(b)
+            n += b.num_rows
+            if n >= ROW_GROUP:
+                flush()
+        if held:
+            flush()
         if writer:
             writer.close()
-            os.replace(path + ".tmp", path)
-            yield pa.RecordBatch.from_pylist([{"path": path, "rows": rows, "copies": copies, "h": h, "bytes": os.path.getsize(path), "first_gid": lo[0], "first_ms": lo[1], "last_gid": hi[0], "last_ms": hi[1]}], MADE)
-
-    made = placed.mapInArrow(write, "path string, rows long, copies long, h long, bytes long, first_gid int, first_ms long, last_gid int, last_ms long").collect()
-    want = records(segments).groupBy(*KEY).agg(F.count(F.lit(1)).alias("c")).agg(
-        F.count(F.lit(1)).alias("rows"), F.coalesce(F.sum("c"), F.lit(0)).alias("copies"), F.coalesce(F.sum(F.xxhash64(*KEY).bitwiseAND(F.lit(0xFFFFFFFF))), F.lit(0)).alias("h")).first()
-    got = tuple(sum(r[c] for r in made) for c in ("rows", "copies")) + (sum(r["h"] for r in made) % (1 << 62),)
-    if got != (want["rows"], want["copies"], want["h"] % (1 << 62)):
-        raise RuntimeError(f"compaction isn't published: wrote rows, copies, hash {got}, the input has {tuple(want)}")
-    manifest = {"run": run, "rows": got[0], "merged_rows": got[1], "files": [r.asDict() for r in sorted(made, key=lambda r: (r["first_gid"] is not None, r["first_gid"] or 0, r["first_ms"] or 0))]}
-    tmp = os.path.join(out, f"_manifest.{run}.tmp")
-    with open(tmp, "w") as f:
-        json.dump(manifest, f)
-        f.flush()
-        os.fsync(f.fileno())
-    os.replace(tmp, os.path.join(out, "_manifest.json"))
+            yield pa.RecordBatch.from_pylist([{"name": name, **stats, "bytes": fs.get_file_info(path).size}], MADE)
+
+    made = placed.mapInArrow(write, "name string, rows long, copies long, h long, bytes long, first_gid int, first_ms long, last_gid int, last_ms long").collect()  # a row an output file
+    want = records(segments).agg(F.count(F.lit(1)).alias("copies"), F.coalesce(F.sum(fingerprint().cast("decimal(38,0)")), F.lit(0)).alias("h")).first()
+    got = tuple(int(sum(r[c] for r in made)) for c in ("copies", "h"))
+    if got != (want["copies"], int(want["h"])):
+        raise RuntimeError(f"compaction isn't published: wrote copies and fingerprints {got}, the input has {tuple(want)}")
+    rows = [r.asDict() for r in sorted(made, key=lambda r: (r["first_gid"] is not None, r["first_gid"] or 0, r["first_ms"] or 0))]
+    manifest = {"run": run, "rows": sum(r["rows"] for r in rows), "merged_rows": got[0], "input_files": files.count(), "loads": loads, "files": rows}
+    place.publish("_manifest.json", json.dumps(manifest))
     return manifest
 
 
-MADE = pa.schema([("path", pa.string()), ("rows", pa.int64()), ("copies", pa.int64()), ("h", pa.int64()), ("bytes", pa.int64()), ("first_gid", pa.int32()), ("first_ms", pa.int64()), ("last_gid", pa.int32()), ("last_ms", pa.int64())])
-SCHEMA = "gid int, start_time timestamp_ntz, end_time timestamp_ntz, mtid int, model binary, gaps binary"
+MADE = pa.schema([("name", pa.string()), ("rows", pa.int64()), ("copies", pa.int64()), ("h", pa.int64()), ("bytes", pa.int64()), ("first_gid", pa.int32()), ("first_ms", pa.int64()), ("last_gid", pa.int32()), ("last_ms", pa.int64())])
+
+
+def read_compacted(spark: SparkSession, out: str, ordered: bool = False) -> DataFrame:
+    """The table that the manifest under ``out`` names. Each file is ordered; ``ordered`` merges them into one order by gid and
+    start_time."""
+    place = Files(spark, out)
+    paths = [place.uri(x["name"]) for x in json.loads(place.read("_manifest.json") or '{"files": []}')["files"]]
+    df = spark.read.schema(SCHEMA).parquet(*paths) if paths else spark.createDataFrame([], SCHEMA)
+    return df.orderBy("gid", "start_time") if ordered else df
 
 
-def read_compacted(spark, out: str) -> DataFrame:
-    """The table that the manifest under ``out`` names."""
-    with open(os.path.join(local_path(out), "_manifest.json")) as f:
-        paths = [x["path"] for x in json.load(f)["files"]]
-    return spark.read.schema(SCHEMA).parquet(*paths) if paths else spark.createDataFrame([], SCHEMA)
+def vacuum(spark: SparkSession, out: str, older_than_ms: int = 86_400_000) -> list[str]:
+    """Removes files that the manifest doesn't name and that are older than that, as failed attempts and former runs leave."""
+    place = Files(spark, out)
+    named = {x["name"] for x in json.loads(place.read("_manifest.json") or '{"files": []}')["files"]}
+    gone = [n for n, t in place.names() if n.startswith("part-") and n not in named and place.now() - t >= older_than_ms]
+    for n in gone:
+        place.remove(n)
+    return gone

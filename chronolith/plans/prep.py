@@ -15,18 +15,20 @@ def table(spark: SparkSession, d: str, name: str) -> DataFrame:
     return utc(spark).read.parquet(f"{d}/{name}.parquet")
 
 
+def compacted(spark: SparkSession, d: str) -> DataFrame:
+    """The rewritten table: every record once, with the number of rows that held it."""
+    out = f"{shared_dir(spark)}/compacted-{uuid.uuid4().hex}"
+    compaction.compact(table(spark, d, "segment"), table(spark, d, "segment_file"), out)
+    return compaction.read_compacted(spark, out).select("gid", millis("start_time").alias("start_ms"), millis("end_time").alias("end_ms"), "mtid", F.lower(F.hex("model")).alias("model_hex"), F.lower(F.hex("gaps")).alias("gaps_hex"), "copies")
+
+
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
     """Records stored more than once."""
-    r = compaction.distinct_records(table(spark, d, "segment"), table(spark, d, "segment_file"))
-    return r.where("copies > 1").select("gid", "start_ms", "end_ms", "mtid", F.lower(F.hex("gaps")).alias("gaps_hex"))
+    return compacted(spark, d).where("copies > 1").drop("model_hex", "copies")
 
 
 def p1_compacted(spark: SparkSession, d: str) -> DataFrame:
-    """The rewritten table: every record once."""
-    out = f"{shared_dir(spark)}/compacted-{uuid.uuid4().hex}"
-    compaction.compact(table(spark, d, "segment"), table(spark, d, "segment_file"), out)
-    r = compaction.read_compacted(spark, out)
-    return r.select("gid", millis("start_time").alias("start_ms"), millis("end_time").alias("end_ms"), "mtid", F.lower(F.hex("model")).alias("model_hex"), F.lower(F.hex("gaps")).alias("gaps_hex"))
+    return compacted(spark, d).drop("copies")
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import os
 import tempfile
 import uuid
@@ -34,27 +35,49 @@ def utc(spark: SparkSession) -> SparkSession:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share. A cluster names it in spark.checkpoint.dir; only where
-    that is unset (tests, single machine) a local folder is made and set."""
+    """The folder all executors share. A cluster names it in spark.checkpoint.dir; only on a single machine, as in tests, a
+    local folder is made where that is unset."""
     d = spark.conf.get("spark.checkpoint.dir", None) or os.environ.get("CHRONOLITH_SHARED_DIR")
     if not d:
         known = spark.sparkContext._jsc.sc().getCheckpointDir()
         d = known.get() if known.isDefined() else None
     if not d:
+        if not spark.sparkContext.master.startswith("local["):
+            raise RuntimeError("on a cluster spark.checkpoint.dir must name a folder that all executors share")
         d = "file://" + tempfile.mkdtemp(prefix="chronolith-")
         spark.sparkContext.setCheckpointDir(d)
     return d.rstrip("/")
 
 
+#: Tables that this process has written to cut lineage, by application. They go when it ends; see ``release``.
+_scratch: dict[str, list[str]] = {}
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` as a table in the shared folder: cuts the lineage so that a lost executor costs a
     re-read, not a recomputation, and pins results that are evaluated more than once."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    if not _scratch:
+        atexit.register(release)
+    _scratch.setdefault(spark.sparkContext.applicationId, []).append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession | None = None) -> int:
+    """Deletes the tables that ``written`` has made in this application, whose results must no longer be read; runs by itself
+    when the process ends. Returns their number."""
+    spark = spark or SparkSession.getActiveSession()
+    if spark is None or spark.sparkContext._jsc is None:
+        return 0
+    paths = _scratch.pop(spark.sparkContext.applicationId, [])
+    for p in paths:
+        path = spark._jvm.org.apache.hadoop.fs.Path(p)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    return len(paths)
+
+
 def millis(col) -> "F.Column":
     """Milliseconds since 1970-01-01 UTC of a timestamp with or without zone."""
     return F.unix_millis(F.col(col).cast("timestamp") if isinstance(col, str) else col.cast("timestamp"))

@@ -89,9 +89,12 @@ def ingest_stream(engine: Engine, points: DataFrame, checkpoint: str, mode: str
     def publish(batch: DataFrame, number: int) -> None:
         batch = batch.withColumns({c: F.timestamp_millis(c) for c in ("start_time", "end_time")}).persist()
         try:
-            engine.store.append_segments(batch.where("is_final"), f"{stream}-{number}")
-            if mode == "online":
-                engine.store.replace_temporary(batch.where("not is_final"), batch.select("gid"))
+            # one change: final segments come as the temporary ones they replace go
+            temporary = batch.where("is_final is null or not is_final") if mode == "online" else None
+            gids = batch.select("gid").distinct()
+            if temporary is not None:
+                temporary = gids.join(temporary, "gid", "left").select(*batch.columns)
+            engine.store.append_segments(batch.where("is_final"), f"{stream}-{number}", temporary)
         finally:
             batch.unpersist()
 

@@ -5,6 +5,7 @@ import os
 
 import numpy as np
 import pandas as pd
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 from readings_helper import readings_frame
@@ -127,21 +128,40 @@ def test_compaction_keeps_every_record_once(spark, tmp_path):
     rows.append((None, None, None, None, None, None, None))
     df, files = segment_frame(spark, rows), spark.createDataFrame([("a", None), ("b", 10), ("z", 5)], "file_name string, n_bytes long")
     want = {(g, s, e, m, x, y or b"") for g, s, e, m, x, y, _ in rows}
-    for target in (300, 1 << 20):
-        got = compaction.distinct_records(df, files, target).collect()
-        assert len(got) == len(want) and {(r["gid"], r["start_ms"], r["end_ms"], r["mtid"], r["model"] and bytes(r["model"]), bytes(r["gaps"])) for r in got} == want
-        assert sum(r["copies"] for r in got) == len(rows)
+    key = lambda r: (r["gid"], r["start_ms"], r["end_ms"], r["mtid"], r["model"] and bytes(r["model"]), bytes(r["gaps"]))
+    got = compaction.resolved(df).collect()
+    assert len(got) == len(want) and {key(r) for r in got} == want and sum(r["copies"] for r in got) == len(rows)
     out = str(tmp_path / "out")
-    m = compaction.compact(df, files, out, 2000)
-    assert m["rows"] == len(want) and m["merged_rows"] == len(rows) and len(m["files"]) > 1
-    back = compaction.read_compacted(spark, out).toPandas()
-    assert len(back) == len(want)
-    edges = [(f["first_gid"] if f["first_gid"] is not None else -1, f["first_ms"] or 0, f["last_gid"] if f["last_gid"] is not None else -1, f["last_ms"] or 0) for f in m["files"]]
-    assert all(a[2:] <= b[:2] for a, b in zip(edges, edges[1:]))
+    for target in (300, 2000, 1 << 20):
+        m = compaction.compact(df, files, out, target)
+        assert m["rows"] == len(want) and m["merged_rows"] == len(rows) and len(m["files"]) <= m["loads"]["groups"]
+        back = compaction.read_compacted(spark, out)
+        assert {key(r) for r in back.select("*", F.unix_millis(F.col("start_time").cast("timestamp")).alias("start_ms"), F.unix_millis(F.col("end_time").cast("timestamp")).alias("end_ms")).collect()} == want and back.count() == len(want)
+        for f in m["files"]:
+            one = [(r["gid"] is not None, r["gid"] or 0, r["start_time"] is not None, r["start_time"]) for r in pq.read_table(os.path.join(out, f["name"])).to_pylist()]
+            assert one == sorted(one, key=lambda x: x[:3] + ((x[3],) if x[3] else ())) and len(one) == f["rows"]
+    assert len(compaction.vacuum(spark, out, 0)) > 0 and compaction.read_compacted(spark, out).count() == len(want)
     m = compaction.compact(df.where("false"), files, out)
     assert m["rows"] == 0 and compaction.read_compacted(spark, out).count() == 0 and json.load(open(os.path.join(out, "_manifest.json")))["rows"] == 0
 
 
+def test_output_files_are_the_balanced_groups(spark, tmp_path):
+    """Many small files and one that holds a third of the rows."""
+    rows = [(k % 7, k, k + 1, 2, bytes([k % 251]) * 20, None, "hot" if k % 3 == 0 else f"f{k // 9}") for k in range(6000)]
+    m = compaction.compact(segment_frame(spark, rows), spark.createDataFrame([("hot", None)], "file_name string, n_bytes long"), str(tmp_path / "o"), 12_000)
+    held = [f["rows"] for f in m["files"]]
+    assert m["loads"]["largest"] <= 1.2 * m["loads"]["mean"] and len(held) == m["loads"]["groups"] > 20
+    assert sum(held) == 6000 and max(held) <= 1.4 * 6000 / len(held)
+
+
+def test_failed_check_publishes_nothing(spark, tmp_path, monkeypatch):
+    df = segment_frame(spark, [(1, 0, 1, 2, b"a", None, "f")])
+    monkeypatch.setattr(compaction, "resolved", lambda s: compaction.records(s).where("false").withColumn("copies", F.lit(1).cast("long")))
+    with pytest.raises(RuntimeError):
+        compaction.compact(df, spark.createDataFrame([], "file_name string, n_bytes long"), str(tmp_path / "o"))
+    assert not os.path.exists(tmp_path / "o" / "_manifest.json")
+
+
 def test_schedule_is_balanced():
     rng = np.random.default_rng(1)
     w = {i: int(x) for i, x in enumerate(rng.integers(1, 100, 500))}
