@@ -14,10 +14,16 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Pairs in fewer than this share of documents count as improbable. Only pairs in more than FLOOR of the documents are
-#: sent to the workers: at most the mean number of a document's distinct pairs, divided by FLOOR, whatever the corpus.
-RARE = 0.01
+#: Only pairs in more than FLOOR of the documents are sent to the workers: at most the mean number of a document's distinct
+#: pairs, divided by FLOOR, whatever the corpus. Others count as standing in half of it.
 FLOOR = 0.0005
+#: Background that is added to each character's share of documents: without it, what occurs nowhere but in garbled
+#: sequences would have the highest information of all.
+BACKGROUND = 0.1
+#: Information below which a pair is improbable: it stands in a tenth of the documents that chance would put it in.
+IMPROBABLE = math.log(0.1)
+#: What a pair of ASCII characters takes from a run that reaches over it.
+PLAIN = 1.0
 #: Gain in nats that a restored passage needs, and that all of a text's passages of one mapping need together where the
 #: bytes' form proves nothing.
 GAIN = 2.0
@@ -27,6 +33,8 @@ GAIN_TEXT = 12.0
 LETTERS = 4
 WORD_TIMES = 10
 WORD = 1 << 62
+#: Keys from CHAR on stand for single characters.
+CHAR = 1 << 61
 #: Encodings of one byte a character in which texts are wrongly read or were written.
 READ_AS = ("cp1252", "cp1250", "cp1251", "cp437", "cp850", "mac_roman", "koi8_r", "cp866", "iso8859_15", "iso8859_5", "mac_cyrillic")
 WRITTEN = ("cp1252", "cp1251", "koi8_r", "cp866", "cp850")
@@ -53,6 +61,7 @@ def pair_codes(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     wide = code >= 128
     at = np.flatnonzero(wide[:-1] | wide[1:])
     ends = np.cumsum([len(t) + 1 for t in texts])
+    at = at[~np.isin(at, ends - 1)]  # not from the end of one text to the next
     owner = np.searchsorted(ends, at, "right")
     a, b = symbols(code[at]), symbols(code[at + 1])
     a, b = np.where(a < 33, 32, a), np.where(b < 33, 32, b)
@@ -61,12 +70,20 @@ def pair_codes(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 def document_frequencies(docs: DataFrame) -> tuple[dict[int, float], int]:
     """Share of all documents that hold each pair, and each word with a letter that isn't ASCII, for those above FLOOR, and
-    the number of documents."""
+    each character, and the number of documents."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, int] = defaultdict(int)
         words: Counter[str] = Counter()
         n = 0
+
+        def distinct(owner: np.ndarray, key: np.ndarray, mark: int) -> None:
+            o = np.lexsort((key, owner))
+            owner, key = owner[o], key[o]
+            new = np.r_[True, (key[1:] != key[:-1]) | (owner[1:] != owner[:-1])] if len(key) else np.zeros(0, bool)
+            for x, y in zip(*(a.tolist() for a in np.unique(key[new], return_counts=True))):
+                held[mark | x] += y
+
         for b in batches:
             for at in range(0, b.num_rows, 256):
                 texts = [t for t in b.column(0).slice(at, 256).to_pylist() if t]
@@ -76,12 +93,19 @@ def document_frequencies(docs: DataFrame) -> tuple[dict[int, float], int]:
                 for t in texts:
                     words.update(own_words(t))
                 owner, pair, _ = pair_codes(texts)
-                o = np.lexsort((pair, owner))
-                owner, pair = owner[o], pair[o]
-                new = np.r_[True, (pair[1:] != pair[:-1]) | (owner[1:] != owner[:-1])] if len(pair) else np.zeros(0, bool)
-                p, c = np.unique(pair[new], return_counts=True)
-                for x, y in zip(p.tolist(), c.tolist()):
-                    held[x] += y
+                distinct(owner, pair, 0)
+                # characters: ASCII ones of all texts, others stand first or second in one of the pairs
+                plain = np.zeros((len(texts), 128), bool)
+                for k, t in enumerate(texts):
+                    code = np.frombuffer(t.encode("utf-8", "replace"), np.uint8)
+                    plain[k, np.unique(code[code < 128])] = True
+                plain[:, 32] |= plain[:, :32].any(1)
+                for c, y in enumerate(plain.sum(0).tolist()):
+                    if y and c >= 32:
+                        held[CHAR | c] += y
+                both, every = np.r_[owner, owner], np.r_[pair >> 24, pair & 0xFFFFFF]
+                wide = every >= 128
+                distinct(both[wide], every[wide], CHAR)
         for w, c in words.items():
             held[word_key(w)] += c
         yield pa.RecordBatch.from_arrays([pa.array([-1, *held], pa.int64()), pa.array([n, *held.values()], pa.int64())], names=["pair", "df"])
@@ -92,47 +116,52 @@ def document_frequencies(docs: DataFrame) -> tuple[dict[int, float], int]:
 
     got = written(got, "pairs")
     n = (got.where("pair = -1").agg(F.sum("df")).first()[0]) or 0
-    kept = got.where((F.col("pair") >= 0) & (F.col("df") > F.lit(FLOOR * n)))
+    # characters are symbols, of which there are a few thousand
+    kept = got.where((F.col("pair") >= 0) & ((F.col("df") > F.lit(FLOOR * n)) | F.col("pair").between(CHAR, WORD - 1)))
     return {r["pair"]: r["df"] / n for r in kept.toLocalIterator()}, n
 
 
 class Model:
     """Scores of adjacent characters from the corpus.
 
-    A pair's score is the logarithm of the share of documents that hold it: its pointwise mutual information plus the
-    logarithms of both characters' shares. Plain mutual information won't do: the characters of garbled sequences occur
-    hardly anywhere else, so it is high for just those. Pairs of ASCII characters say nothing and score 0.
+    A pair's score is its pointwise mutual information over documents: the logarithm of the share of documents that hold it,
+    over the product of its characters' shares, to each of which BACKGROUND is added. Pairs that may be parts of UTF-8 read as
+    another encoding, and those with U+FFFD or control characters, may owe all their occurrences to wrong decoding: they count
+    as unseen. Pairs of ASCII characters say nothing and score 0.
     """
 
     def __init__(self, shares: dict[int, float]):
         self.words = {p: x for p, x in shares.items() if p >= WORD}
-        shares = {p: x for p, x in shares.items() if p < WORD}
-        self.score = {p: math.log(s) for p, s in shares.items()}
         self.least = math.log(FLOOR / 2)
+        chars = {p - CHAR: x for p, x in shares.items() if CHAR <= p < WORD}
+        self.base = defaultdict(lambda: math.log(BACKGROUND), {c: math.log(x + BACKGROUND) for c, x in chars.items()})
+        shares = {p: x for p, x in shares.items() if p < CHAR}
         self.seen: dict[tuple[str, str, str], tuple] = {}
+        self.alone: dict[tuple, tuple[str, str] | None] = {}
         self.bytes_of = {w: single_byte(w) for w in READ_AS}
         self.leads = {w: {c for c, b in t.items() if 0xC2 <= b < 0xF5} for w, t in self.bytes_of.items()}
         self.chars = {w: {c for c in t if ord(c) > 127} for w, t in self.bytes_of.items()}
         self.maps = {(w, r): turned(t, r) for w, t in self.bytes_of.items() for r in WRITTEN if r != w}
         self.known: dict[int, int] = {}
-        for w in FORM:  # what in the corpus nearly always stands as UTF-8 would counts as improbable, however frequent
-            held: dict[int, list[tuple[int, float, bool]]] = defaultdict(list)
-            for p, x in shares.items():
-                a, b = (self.bytes_of[w].get(chr(c), 0) if c < 0x110000 else 0 for c in (p >> 24, p & 0xFFFFFF))
-                if 0xC2 <= a < 0xF5 and p & 0xFFFFFF != 32:
-                    held[a].append((p, x, 0x80 <= b < 0xC0 and written(a, b)))
-            for of in held.values():
-                if sum(x for _, x, form in of if form) >= FORM_SHARE * sum(x for _, x, _ in of):
-                    self.score.update({p: self.least for p, _, form in of if form})
         self.as_bytes = {w: ByteText({ord(c): b for c, b in self.bytes_of[w].items()}) for w in FORM}
         formed = {ord(a) << 24 | ord(b) for t in self.bytes_of.values() for a, x in t.items() if 0xC2 <= x < 0xF5 for b, y in t.items() if 0x80 <= y < 0xC0 and written(x, y) and not ordinary(a, b)}
-        # pairs that may be parts of UTF-8, lost and control characters are looked at however frequent they are
-        self.common = np.array(sorted(p for p, x in shares.items() if x >= RARE and p not in formed and not lost(p)), np.int64)
+        self.score = {p: math.log(x) for p, x in shares.items() if p not in formed and not lost(p)}
+        known = sorted(self.score)
+        self.pair_at = np.array(known, np.int64)
+        self.pair_score = np.array([self.score[p] for p in known])
+        self.base_at = np.full(0x110000 + 0x1100, math.log(BACKGROUND))
+        for c, x in self.base.items():
+            self.base_at[c] = x
 
     def pairs(self, s: str) -> list[float]:
-        get, least, sym = self.score.get, self.least, self.symbol
+        get, least, sym, base = self.score.get, self.least, self.symbol, self.base
         codes = [sym(ord(c)) for c in s]
-        return [0.0 if a < 128 and b < 128 else get(a << 24 | b, least) for a, b in zip(codes, codes[1:])]
+        return [0.0 if a < 128 and b < 128 else get(a << 24 | b, least) - base[a] - base[b] for a, b in zip(codes, codes[1:])]
+
+    def unknown(self, s: str) -> bool:
+        """No pair of it stands anywhere, as far as it isn't ASCII."""
+        codes = [self.symbol(ord(c)) for c in s]
+        return not any(a << 24 | b in self.score for a, b in zip(codes, codes[1:]) if a > 127 or b > 127)
 
     def symbol(self, c: int) -> int:
         if c < 128:
@@ -144,30 +173,41 @@ class Model:
     def total(self, s: str) -> float:
         return sum(self.pairs(s))
 
-    def segments(self, s: str) -> list[tuple[int, int]]:
-        """Maximal scoring runs of improbable pairs, as ranges of characters (by the stack of left-minimal runs)."""
-        limit = math.log(RARE)
+    def runs(self, texts: list[str]) -> dict[int, list[tuple[int, int]]]:
+        """Maximal scoring runs of improbable pairs by text, as ranges of characters. A pair scores what its information falls
+        short of IMPROBABLE, so only improbable ones add to a run; what lies between takes from it. Found by the stack of
+        left-minimal runs over the improbable pairs, with running totals of all."""
+        owner, pair, at = pair_codes(texts)
+        if not len(pair):
+            return {}
+        k = np.minimum(np.searchsorted(self.pair_at, pair), max(0, len(self.pair_at) - 1))
+        seen = self.pair_at[k] == pair if len(self.pair_at) else np.zeros(len(pair), bool)
+        share = np.where(seen, self.pair_score[k], self.least) if len(self.pair_at) else np.full(len(pair), self.least)
+        gain = IMPROBABLE - (share - self.base_at[pair >> 24] - self.base_at[pair & 0xFFFFFF])
+        gap = np.r_[0, np.where(owner[1:] == owner[:-1], at[1:] - at[:-1] - 1, 0) * PLAIN]
+        total = np.cumsum(gain - gap)
+        odd = np.flatnonzero(gain > 0)
+        out: dict[int, list[tuple[int, int]]] = {}
         stack: list[tuple[int, int, float, float]] = []  # from, to (pairs), total before, total after
-        total = 0.0
-        for k, x in enumerate(self.pairs(s)):
-            w = limit - x if x else -1.0
-            before, total = total, total + w
-            if w <= 0:
-                continue
-            run = (k, k + 1, before, total)
+        text = -1
+        for o, p, before, after in zip(owner[odd].tolist(), at[odd].tolist(), (total[odd] - gain[odd]).tolist(), total[odd].tolist()):
+            if o != text:
+                text, stack = o, []
+                out[o] = stack
+            run = (p, p, before, after)
             while True:
                 j = len(stack) - 1
                 while j >= 0 and stack[j][2] >= run[2]:
                     j -= 1
                 if j < 0 or stack[j][3] >= run[3]:
                     break
-                run = (stack[j][0], run[1], stack[j][2], run[3])
+                run = (stack[j][0], p, stack[j][2], run[3])
                 del stack[j:]
             stack.append(run)
-        return [(a, b + 1) for a, b, _, _ in stack]
+        return {o: [(a, min(b + 2, len(texts[o]))) for a, b, _, _ in runs] for o, runs in out.items()}
 
     def restore(self, s: str, left: str, right: str) -> tuple[str, str | None, float, bool]:
-        """(text, mapping, gain, proven) of a token: inverse mappings are tried inside its improbable runs only."""
+        """(text, mapping, gain, proven) of a piece of a run between these characters, by the best inverse mapping."""
         key = (s, left, right)
         if (x := self.seen.get(key)) is None:
             x = self.restored(s, left, right)
@@ -178,48 +218,25 @@ class Model:
         return x
 
     def restored(self, s: str, left: str, right: str) -> tuple[str, str | None, float, bool]:
-        whole = left + s + right
-        segments = self.segments(whole)
-        # a character at the edge of an improbable run may belong to it: runs take in what is next to them and isn't ASCII
-        spans: list[list[int]] = []
-        for a, b in segments:
-            while a > 1 and ord(whole[a - 1]) > 127:
-                a -= 1
-            while b < len(whole) - 1 and ord(whole[b]) > 127:
-                b += 1
-            a, b = max(a, len(left)), min(b, len(whole) - len(right))
-            if spans and a <= spans[-1][1]:
-                spans[-1][1] = max(b, spans[-1][1])
-            elif a < b:
-                spans.append([a, b])
-        old, wide = self.total(whole), {c for a, b in spans for c in whole[a:b] if ord(c) > 127}
-        every = {c for c in s if ord(c) > 127}
+        old, mine = self.total(left + s + right), {c for c in s if ord(c) > 127}
         best = (s, None, 0.0, False)
         for name, table in self.bytes_of.items():
-            if not every & self.leads[name]:
+            if not mine & self.leads[name]:
                 continue
-            # sequences of valid form too, though a frequent garbling makes their pairs common
-            data = bytes(table.get(c, 0x20) if ord(c) > 127 else 0x20 for c in whole)
-            formed = [[a, b] for a, b in (m.span() for m in UTF8.finditer(data)) if not any(x <= a and b <= y for x, y in spans)]
-            new, changed = self.as_utf8(whole, joined(spans + formed), table)
+            new, changed = self.as_utf8(s, left, right, table)
             if changed:
-                gain = self.total(new) - old
+                gain = self.total(left + new + right) - old
                 if gain > max(best[2], GAIN if changed < 3 else 0):
-                    best = (new[len(left) : len(new) - len(right)], f"{name}>utf-8", gain, True)
-        if not segments:
-            return best
-        if wide and max(wide) > "\u2e80":
-            for a, b in spans:
-                part = whole[a:b]
-                for name in READ_WIDE:
-                    try:
-                        new = part.encode(name).decode("utf-8")
-                    except UnicodeError:
-                        continue
-                    gain = self.total(whole[:a] + new + whole[b:]) - old
-                    if len(part) > 1 and gain > max(best[2], GAIN):
-                        best = (whole[len(left) : a] + new + whole[b : len(whole) - len(right)], f"{name}>utf-8", gain, True)
-        mine = every
+                    best = (new, f"{name}>utf-8", gain, True)
+        if mine and max(mine) > "\u2e80" and len(s) > 1:
+            for name in READ_WIDE:
+                try:
+                    new = s.encode(name).decode("utf-8")
+                except UnicodeError:
+                    continue
+                gain = self.total(left + new + right) - old
+                if gain > max(best[2], GAIN):
+                    best = (new, f"{name}>utf-8", gain, True)
         if mine <= self.chars["cp1252"] and len(mine) > 1:
             data = bytes(self.bytes_of["cp1252"].get(c, 0x3F) for c in s)
             for to in WRITTEN_WIDE:
@@ -241,50 +258,65 @@ class Model:
                 if turn is None or not mine <= turn[1]:
                     continue
                 new = s.translate(turn[0])
-                if not in_words(s, new):
+                if not in_words(left, s, new, right):
                     continue
                 gain = self.total(left + new + right) - old
                 if gain > max(best[2], GAIN):
                     best = (new, f"{name}>{to}", gain, False)
         return best
 
-    def as_utf8(self, whole: str, spans: list[list[int]], table: dict[str, int]) -> tuple[str, int]:
+    def as_utf8(self, s: str, left: str, right: str, table: dict[str, int]) -> tuple[str, int]:
         out, at, changed = [], 0, 0
-        for a, b in spans:
-            data = bytes(table.get(c, 0x20) if ord(c) > 127 else 0x20 for c in whole[a:b])
-            for m in UTF8.finditer(data):
-                new = m.group().decode("utf-8")
-                around = self.pairs(whole[a + m.start() - 1 : a + m.start()] + new + whole[a + m.end() : a + m.end() + 1])
-                layered = UTF8.fullmatch(bytes(table.get(c, 0x20) for c in new))  # garbled twice: the next round goes on
-                if not layered and (CONTROL.search(new) or max(around, default=0.0) <= self.least):
-                    continue  # no pair of it stands anywhere else: valid by chance
-                out += [whole[at : a + m.start()], new]
-                at, changed = a + m.end(), changed + m.end() - m.start()
-        return "".join([*out, whole[at:]]), changed
-
-    def known_word(self, old: str, new: str) -> bool:
-        """Whether all that differs in the restored token lies in words that are frequent only as restored."""
-        if not self.words or len(old) != len(new):
+        data = bytes(table.get(c, 0x20) if ord(c) > 127 else 0x20 for c in s)
+        for m in UTF8.finditer(data):
+            new = m.group().decode("utf-8")
+            layered = UTF8.fullmatch(bytes(table.get(c, 0x20) for c in new))  # garbled twice: the next round goes on
+            if not layered and (CONTROL.search(new) or self.unknown((s[m.start() - 1] if m.start() else left) + new + (s[m.end()] if m.end() < len(s) else right))):
+                continue  # no pair of it stands anywhere else: valid by chance
+            out += [s[at : m.start()], new]
+            at, changed = m.end(), changed + m.end() - m.start()
+        return "".join([*out, s[at:]]), changed
+
+    def known_word(self, t: str, a: int, b: int, new: str) -> bool:
+        """Whether all that differs in the restored piece lies in words that are frequent only as restored."""
+        if not self.words or len(new) != b - a:
             return False
-        spans = [m.span() for m in OWN.finditer(new) if new[m.start() : m.end()] != old[m.start() : m.end()]]
+        m, stop = token_start(t, a), TOKEN_END.search(t, b)
+        end = stop.start() if stop else len(t)
+        old, new = t[m:end], t[m:a] + new + t[b:end]
+        spans = [x.span() for x in OWN.finditer(new) if new[x.start() : x.end()] != old[x.start() : x.end()]]
         share = lambda w: self.words.get(word_key(w), 0.0)
-        if not all(share(new[a:b]) > WORD_TIMES * share(old[a:b]) for a, b in spans):
+        if not all(share(new[x:y]) > WORD_TIMES * share(old[x:y]) for x, y in spans):
             return False
-        return bool(spans) and all(x == y or any(a <= k < b for a, b in spans) for k, (x, y) in enumerate(zip(old, new)))
-
-    def by_form(self, t: str) -> tuple[str, str, int]:
-        """(text, mapping, passages) with UTF-8 put right that its form alone proves: see FORM. Scores don't count here, as
-        all texts of a language may be garbled alike."""
+        return bool(spans) and all(x == y or any(i <= k < j for i, j in spans) for k, (x, y) in enumerate(zip(old, new)))
+
+    def lone(self, t: str, a: int, b: int, left: str, right: str) -> tuple[str, str] | None:
+        """(text, mapping) of a piece that no mapping makes more probable, where one makes it part of a known word."""
+        key = (t[token_start(t, a) : b + 8], left, right)
+        if key not in self.alone:
+            if len(self.alone) > 100_000:
+                self.alone.clear()
+            mine = {c for c in t[a:b] if ord(c) > 127}
+            turned = ((t[a:b].translate(turn), f"{name}>{to}") for (name, to), (turn, chars) in self.maps.items() if mine <= chars)
+            self.alone[key] = next((x for x in turned if in_words(left, t[a:b], x[0], right) and self.known_word(t, a, b, x[0])), None)
+        return self.alone[key]
+
+    def by_form(self, t: str, runs: list[tuple[int, int]]) -> tuple[str, str, int]:
+        """(text, mapping, passages) with UTF-8 put right inside runs that its form alone proves: see FORM. Scores don't count
+        here, as all texts of a language may be garbled alike."""
         if len(MAYBE.findall(t)) < FORM_LEAST:
             return t, "", 0
+        inside = np.zeros(len(t) + 1, bool)
+        for a, b in runs:
+            inside[a:b] = True
         for name in FORM:
             data = t.translate(self.as_bytes[name]).encode("latin-1")
-            runs = [(*m.span(), m.group().decode("utf-8")) for m in UTF8.finditer(data)]
-            held = Counter(c.encode()[0] for _, _, new in runs for c in new)
+            found = [(*m.span(), m.group().decode("utf-8")) for m in UTF8.finditer(data) if inside[m.start() : m.end()].all()]
+            held = Counter(c.encode()[0] for _, _, new in found for c in new)
             places = Counter(x[0] for x in LEAD.findall(data)) if held and max(held.values()) >= FORM_LEAST else {}
             sure = {b for b, n in held.items() if n >= max(FORM_LEAST, FORM_SHARE * places.get(b, math.inf))}
             out, at, n = [], 0, 0
-            for a, b, new in runs if sure else ():
+            for a, b, new in found if sure else ():
                 if all(c.encode()[0] in sure and WRITING.match(c) for c in new):
                     out += [t[at:a], new]
                     at, n = b, n + 1
@@ -292,61 +324,61 @@ class Model:
                 return "".join([*out, t[at:]]), f"{name}>utf-8", n
         return t, "", 0
 
-    def suspects(self, texts: list[str]) -> dict[int, list[int]]:
-        """Places of improbable pairs, and of those that may be garbled whatever their share, by text."""
-        owner, pair, at = pair_codes(texts)
-        k = np.minimum(np.searchsorted(self.common, pair), max(0, len(self.common) - 1))
-        odd = self.common[k] != pair if len(self.common) else np.ones(len(pair), bool)
-        out: dict[int, list[int]] = defaultdict(list)
-        for o, x in zip(owner[odd].tolist(), at[odd].tolist()):
-            out[o].append(x)
+    def pieces(self, t: str, runs: list[tuple[int, int]]) -> list[tuple[int, int]]:
+        """Runs, with what is next to them and isn't ASCII, as it may belong to them, cut at white space."""
+        out: list[tuple[int, int]] = []
+        end = 0
+        for a, b in sorted(runs):
+            a = max(a, end)
+            while a > end and ord(t[a - 1]) > 127 and t[a - 1] not in EDGES:
+                a -= 1
+            while b < len(t) and ord(t[b]) > 127 and t[b] not in EDGES:
+                b += 1
+            if a < b:
+                out += [(a + m.start(), a + m.end()) for m in PIECE.finditer(t[a:b]) if not m.group().isascii()]
+                end = b
         return out
 
-    def text(self, t: str, places: list[int]) -> tuple[bool, str, str]:
-        """(affected, restored text, mapping). Mappings that the bytes' form doesn't prove need GAIN_TEXT in all."""
-        affected = "\ufffd" in t
+    def text(self, t: str, runs: list[tuple[int, int]]) -> tuple[bool, str, str]:
+        """(affected, restored text, mapping). Mappings that the bytes' form doesn't prove need GAIN_TEXT in all. Goes on as
+        long as a round explains something, as text can be garbled more than once; each makes it shorter or more probable."""
         used: dict[str, float] = defaultdict(float)
-        for again in range(3):  # text can be garbled more than once
-            if again:
-                places = self.suspects([t]).get(0, [])
-            found, gains, rest, end = [], defaultdict(float), [], -1
-            for p in places:
-                if p + 1 < end:
-                    continue
-                for q in (p, p + 1):  # the pair may lie across a token's edge
-                    if q < end or q >= len(t) or t[q] in EDGES:
-                        continue
-                    m, stop = token_start(t, q), TOKEN_END.search(t, q)
-                    end = stop.start() if stop else len(t)
-                    left, right = t[m - 1] if m else " ", t[end] if end < len(t) else " "
-                    new, name, gain, proven = self.restore(t[m:end], left, right)
-                    if not proven:
-                        rest.append((m, end, left, right))
-                    if name:
-                        found.append((m, end, new, name, proven))
-                        gains[name] += gain
+        lost_too = False
+        while True:
+            found, gains, rest, at_once = [], defaultdict(float), [], self.pieces(t, runs)
+            for a, b in at_once:
+                left, right = t[a - 1] if a else " ", t[b] if b < len(t) else " "
+                lost_too = lost_too or "\ufffd" in t[a:b]
+                new, name, gain, proven = self.restore(t[a:b], left, right)
+                if not proven:
+                    rest.append((a, b, left, right))
+                if name:
+                    found.append((a, b, new, name, proven))
+                    gains[name] += gain
+                elif x := self.lone(t, a, b, left, right):
+                    found.append((a, b, *x, False))
             best = max(gains, key=gains.get, default=None)
             turn = self.maps.get(tuple(best.split(">"))) if best and gains[best] >= GAIN_TEXT else None
             if turn:
                 found = [x for x in found if x[4]]
-            for a, b, left, right in rest if turn else ():  # what the text's mapping improves, single letters too
+            for a, b, left, right in rest if turn else ():  # what the text's mapping improves in its runs, single letters too
                 s, new = t[a:b], t[a:b].translate(turn[0])
                 if new != s and not any(x.isspace() for x in s) and self.total(left + new + right) > self.total(left + s + right):
                     found.append((a, b, new, best, False))
-            found.sort()
             out, at = [], 0
-            for a, b, new, name, proven in found:
-                if proven or (name == best and gains[name] >= GAIN_TEXT) or self.known_word(t[a:b], new):
+            for a, b, new, name, proven in sorted(found):
+                if proven or (name == best and gains[name] >= GAIN_TEXT) or self.known_word(t, a, b, new):
                     out += [t[at:a], new]
                     at = b
                     used[name] += 1
             t = "".join([*out, t[at:]])
             if not out:  # nothing scores any more
-                t, name, n = self.by_form(t)
+                t, name, n = self.by_form(t, runs)
                 if not n:
                     break
                 used[name] += n
-        affected = affected or bool(used) or bool(CONTROL.search(t))
+            runs = self.runs([t]).get(0, [])
+        affected = bool(used) or lost_too or any(CONTROL.search(t, a, b) for a, b in self.pieces(t, runs))
         return affected, t, max(used, key=used.get) if used else ""
 
 
@@ -384,21 +416,12 @@ def ordinary(a: str, b: str) -> bool:
     return "\u0400" <= min(a, b) and max(a, b) < "\u0500" and not (a.islower() and b.isupper())
 
 
-def joined(spans: list[list[int]]) -> list[list[int]]:
-    out: list[list[int]] = []
-    for a, b in sorted(spans):
-        if out and a < out[-1][1]:
-            out[-1][1] = max(b, out[-1][1])
-        else:
-            out.append([a, b])
-    return out
-
-
 #: First bytes of UTF-8 but before white space, and alphabets and signs that texts are written in.
 LEAD = regex.compile(rb"[\xc2-\xf4](?![ \t\r\n]|$)")
 WRITING = regex.compile("[\u00a0-\u017f\u0370-\u045f\u2010-\u27ff\u3000-\u30ff\u4e00-\u9fff\uac00-\ud7a3\uff00-\uffef]")
 EDGES = " \n\r\t"
 TOKEN_END = regex.compile(r"[ \n\r\t]")
+PIECE = regex.compile(r"[^ \n\r\t]+")
 
 
 def token_start(t: str, q: int) -> int:
@@ -416,18 +439,18 @@ def turned(table: dict[str, int], to: str) -> tuple[dict[int, str], set[str]]:
     return out, {chr(c) for c in out}
 
 
-def in_words(old: str, new: str) -> bool:
+def in_words(left: str, old: str, new: str, right: str) -> bool:
     """At least one changed character touches a letter or digit, no changed one was white space, no letter of another
     alphabet comes to stand beside a Latin one and none in lower case before one in upper case."""
-    touches = False
+    touches, around = False, left + new + right
     for k, (a, b) in enumerate(zip(old, new)):
         if a == b:
             continue
         if a.isspace():
             return False
-        if b.islower() and new[k + 1 : k + 2].isupper():
+        if b.islower() and around[k + 2].isupper():
             return False
-        near = [x for x in (new[k - 1 : k], new[k + 1 : k + 2]) if x.isalnum()]
+        near = [x for x in (around[k], around[k + 2]) if x.isalnum()]
         if b.isalpha() and b > "\u024f" and any(x.isalpha() and x < "\u0250" for x in near):
             return False
         touches = touches or bool(near)
@@ -455,8 +478,8 @@ def garbled(docs: DataFrame) -> DataFrame:
     decoded with an encoding other than theirs. ``restored`` has the passages put right that an inverse mapping explains;
     what was lost (U+FFFD) stays. ``mapping`` names the wrong and the right encoding of most passages, '' if none.
 
-    Two passes over the whole texts: one counts in how many documents each pair of adjacent characters stands, one scores
-    each text. Null, empty and plain ASCII texts give no row; repeated rows give a row each.
+    Two passes over the whole texts: one counts in how many documents each character and each pair of adjacent characters
+    stands, one scores each text. Null, empty and plain ASCII texts give no row; repeated rows give a row each.
     """
     shares, _ = document_frequencies(docs)
     shared = docs.sparkSession.sparkContext.broadcast(shares)
@@ -468,12 +491,14 @@ def garbled(docs: DataFrame) -> DataFrame:
             rows: list[tuple] = []
             for at in range(0, b.num_rows, 256):
                 ids = b.column(0).slice(at, 256).to_pylist()
-                texts = [t or "" for t in b.column(1).slice(at, 256).to_pylist()]
-                for k, places in model.suspects(texts).items():
-                    hit, new, name = model.text(texts[k], places)
+                texts = b.column(1).slice(at, 256).to_pylist()
+                for k, runs in model.runs(texts).items():
+                    hit, new, name = model.text(texts[k], runs)
                     if hit:
                         rows.append((ids[k], new, name))
             cols = [[r[k] for r in rows] for k in range(3)]
             yield pa.RecordBatch.from_arrays([pa.array(cols[0], b.schema.field(0).type), pa.array(cols[1], pa.string()), pa.array(cols[2], pa.string())], names=["doc_id", "restored", "mapping"])
 
-    return docs.select("doc_id", "text").where("text is not null").mapInArrow(run, f"doc_id {kind}, restored string, mapping string")
+    # texts of ASCII alone have as many bytes as characters, and no pair that is scored
+    some = docs.select("doc_id", "text").where(F.octet_length("text") > F.length("text"))
+    return some.mapInArrow(run, f"doc_id {kind}, restored string, mapping string")

@@ -60,9 +60,10 @@ def test_no_documents(spark, docs_frame):
     assert garbled.garbled(docs_frame([None, "", "abc " * 50_000])).count() == 0
 
 
-def test_segments_are_maximal():
+def test_runs_are_maximal():
     m = garbled.Model({})
-    assert m.segments("plain text") == [] and m.segments("abÃ¼cd") == [(1, 5)]
+    assert m.runs(["plain text", "abÃ¼cd", "", "ü" + "x" * 40 + "ü", "axüxxü"]) == {1: [(1, 5)], 3: [(0, 2), (40, 42)], 4: [(1, 6)]}
+    assert m.runs([]) == {} and m.runs(["", "x"]) == {}
 
 
 @pytest.mark.parametrize("kind", ["all of a language", "one sign", "lost", "controls"])
