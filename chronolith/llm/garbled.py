@@ -292,13 +292,14 @@ class Model:
 
     def lone(self, t: str, a: int, b: int, left: str, right: str) -> tuple[str, str] | None:
         """(text, mapping) of a piece that no mapping makes more probable, where one makes it part of a known word."""
-        key = (t[token_start(t, a) : b + 8], left, right)
+        m, stop = token_start(t, a), TOKEN_END.search(t, b)
+        key = (t[m : stop.start() if stop else len(t)], a - m, b - m)
         if key not in self.alone:
             if len(self.alone) > 100_000:
                 self.alone.clear()
             mine = {c for c in t[a:b] if ord(c) > 127}
-            turned = ((t[a:b].translate(turn), f"{name}>{to}") for (name, to), (turn, chars) in self.maps.items() if mine <= chars)
-            self.alone[key] = next((x for x in turned if in_words(left, t[a:b], x[0], right) and self.known_word(t, a, b, x[0])), None)
+            options = ((t[a:b].translate(turn), f"{name}>{to}") for (name, to), (turn, chars) in self.maps.items() if mine <= chars)
+            self.alone[key] = next((x for x in options if in_words(left, t[a:b], x[0], right) and self.known_word(t, a, b, x[0])), None)
         return self.alone[key]
 
     def by_form(self, t: str, runs: list[tuple[int, int]]) -> tuple[str, str, int]:
@@ -343,8 +344,9 @@ class Model:
         """(affected, restored text, mapping). Mappings that the bytes' form doesn't prove need GAIN_TEXT in all. Goes on as
         long as a round explains something, as text can be garbled more than once; each makes it shorter or more probable."""
         used: dict[str, float] = defaultdict(float)
-        lost_too = False
-        while True:
+        lost_too, before = False, set()
+        while t not in before:
+            before.add(t)
             found, gains, rest, at_once = [], defaultdict(float), [], self.pieces(t, runs)
             for a, b in at_once:
                 left, right = t[a - 1] if a else " ", t[b] if b < len(t) else " "
