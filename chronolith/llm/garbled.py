@@ -352,8 +352,7 @@ class Model:
                 left, right = t[a - 1] if a else " ", t[b] if b < len(t) else " "
                 lost_too = lost_too or "\ufffd" in t[a:b]
                 new, name, gain, proven = self.restore(t[a:b], left, right)
-                if not proven:
-                    rest.append((a, b, left, right))
+                rest.append((a, b, left, right, new if proven else t[a:b]))
                 if name:
                     found.append((a, b, new, name, proven))
                     gains[name] += gain
@@ -361,12 +360,13 @@ class Model:
                     found.append((a, b, *x, False))
             best = max(gains, key=gains.get, default=None)
             turn = self.maps.get(tuple(best.split(">"))) if best and gains[best] >= GAIN_TEXT else None
-            if turn:
-                found = [x for x in found if x[4]]
-            for a, b, left, right in rest if turn else ():  # what the text's mapping improves in its runs, single letters too
+            own: dict[int, tuple] = {}
+            for a, b, left, right, other in rest if turn else ():  # what the text's mapping improves in its runs, single letters too
                 s, new = t[a:b], t[a:b].translate(turn[0])
-                if new != s and not any(x.isspace() for x in s) and self.total(left + new + right) > self.total(left + s + right):
-                    found.append((a, b, new, best, False))
+                if new != s and not any(x.isspace() for x in s) and self.total(left + new + right) > self.total(left + other + right):
+                    own[a] = (a, b, new, best, False)
+            if turn:
+                found = [*own.values(), *(x for x in found if x[4] and x[0] not in own)]
             out, at = [], 0
             for a, b, new, name, proven in sorted(found):
                 if proven or (name == best and gains[name] >= GAIN_TEXT) or self.known_word(t, a, b, new):
