@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import json
 import time
+import uuid
+from collections.abc import Iterator
 from dataclasses import dataclass, field, replace
 
 import pyarrow as pa
@@ -12,14 +14,18 @@ from pyspark.sql import functions as F
 
 from chronolith.functions import segments as segment_functions
 from chronolith.functions.calendar import LEVELS, piece_aggregates, pieces
-from chronolith.models.types import assign_mtids
+from chronolith.models.types import assign_mtids, user_types
 from chronolith.operators.compress import align, encode
 from chronolith.operators.generator import Settings
-from chronolith.plans import rewrite
+from chronolith.plans import narrow, rewrite
 from chronolith.plans.grouping import Clause, Dimensions, group
+from chronolith.plans.narrow import Need
 from chronolith.plans.views import PUBLIC, Derived, Views
 from chronolith.sources.storage import SERIES, Store
 
+#: Views that queries read, by users or after rewriting.
+VIEWS = {"SEGMENT", "DATAPOINT", "SEGMENT_PARTS", "SEGMENT_AGGREGATES", *(f"SEGMENT_BY_{x}" for x in LEVELS)}
+
 
 @dataclass
 class Engine:
@@ -53,52 +59,71 @@ class Engine:
         series = self.store.series()
         derived = []
         if self.derived:
-            known = {r["source"]: r["tid"] for r in series.select("source", "tid").collect()}
-            known |= {t: t for t in list(known.values())}
-            top = max(known.values(), key=int, default=0) if known else 0
+            named = [p for p, _, _ in self.derived]
+            of = F.col("source").isin(*[str(p) for p in named]) | F.col("tid").isin(*[p for p in named if isinstance(p, int)] or [-1])
+            known = {x: r["tid"] for r in series.where(of).select("source", "tid").collect() for x in (r["source"], r["tid"])}
+            top = series.agg(F.max("tid")).first()[0] or 0
             parents = sorted(((known[p], n, e, d) for n, (p, e, d) in enumerate(self.derived) if p in known))
             derived = [Derived(top + 1 + k, p, e, d) for k, (p, _, e, d) in enumerate(parents)]
         return Views(self.store.segments(), series, self.settings.models, derived)
 
-    def open(self, names: set[str] | None = None, t0: str | None = None, t1: str | None = None) -> Views:
-        """Registers in the session the views that are named (in upper case), by default both."""
+    def view(self, v: Views, name: str, need: Need | None = None) -> DataFrame:
+        if name == "SEGMENT":
+            return v.segment(need)
+        if name == "DATAPOINT":
+            return v.points(need)
+        if name == "SEGMENT_PARTS":
+            return v.parts(need)
+        if name == "SEGMENT_AGGREGATES":
+            return v.aggregated(need)
+        return by_calendar(v, name.removeprefix("SEGMENT_BY_"), need)
+
+    def open(self) -> Views:
+        """Registers the views of all rows in the session, for queries that don't go through ``sql``. Of two engines in a
+        session the last one's are there; ``sql`` reads its own engine's."""
         v = self.views()
-        names = {"SEGMENT", "DATAPOINT"} if names is None else names
-        if "SEGMENT" in names:
-            v.segment().createOrReplaceTempView("Segment")
-        if "DATAPOINT" in names:
-            v.points(t0=t0, t1=t1).createOrReplaceTempView("DataPoint")
-        if "SEGMENT_AGGREGATES" in names:
-            v.aggregated().createOrReplaceTempView("segment_aggregates")
-        for level in LEVELS:
-            if f"SEGMENT_BY_{level}" in names:
-                by_calendar(v, level).createOrReplaceTempView(f"segment_by_{level.lower()}")
+        self.view(v, "SEGMENT").createOrReplaceTempView("Segment")
+        self.view(v, "DATAPOINT").createOrReplaceTempView("DataPoint")
         return v
 
-    def open_parts(self, v: Views) -> None:
-        """What functions on parts of segments need: metadata by tid, as small as the set of series."""
-        meta = {r["tid"]: (r["sampling_interval"], r["scaling_factor"]) for r in v.series.select("tid", "sampling_interval", "scaling_factor").toLocalIterator()}
-        meta |= {d.tid: (meta[d.parent][0], 1.0) for d in v.derived}
-        segment_functions.register(self.spark, {t: x[0] for t, x in meta.items()}, self.settings.models)
-        pairs = lambda k: ", ".join(f"{t}, {x[k]!r}" + "D" * k for t, x in meta.items())
-        for name, k, kind in (("seg_interval", 0, "INT"), ("seg_scale", 1, "DOUBLE")):
-            body = f"element_at(map({pairs(k)}), t)" if meta else "NULL"
-            self.spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {name}(t INT) RETURNS {kind} RETURN {body}")
-
     def sql(self, query: str) -> DataFrame:
+        """The query is planned twice: over stand-ins of the views first, which shows what it needs of each, then over the views
+        narrowed to that. Neither stays registered."""
         q = rewrite.expand(query)
-        q = rewrite.calendar(q) or rewrite.model_aggregates(q)
-        names = {t.up for t in rewrite.tokens(q)}
-        v = self.open(names, *rewrite.narrow(q))
-        if names & {"START", "END", "START_END", "SEG_VALUES", "SEG_INTERVAL"}:
-            self.open_parts(v)
-        return self.spark.sql(q)
+        q = rewrite.calendar(q) or rewrite.model_aggregates(rewrite.parts(q))
+        if "SEG_VALUES" in {t.up for t in rewrite.tokens(q)}:
+            segment_functions.register(self.spark, self.settings.models, user_types(self.settings.models))
+        tag, places = f"v{uuid.uuid4().hex[:12]}", []
+
+        def name(table: str, n: int) -> str | None:
+            if table not in VIEWS:
+                return None
+            places.append(table)
+            return f"{tag}_{n}"
+
+        q = rewrite.renamed(q, name)
+        v = self.views()
+        whole = {t: self.view(v, t) for t in set(places)}
+        try:
+            ids = {}
+            for n, t in enumerate(places):
+                df, number = narrow.stand_in(self.spark, whole[t].schema)
+                df.createOrReplaceTempView(f"{tag}_{n}")
+                ids[number] = f"{tag}_{n}"
+            plan = self.spark.sql(q)._jdf.queryExecution().optimizedPlan()
+            needs = narrow.needs(plan, ids, {"tid", *v.dims})
+            for n, t in enumerate(places):
+                need = needs.get(f"{tag}_{n}")
+                (whole[t] if need is None else self.view(v, t, need)).createOrReplaceTempView(f"{tag}_{n}")
+            return self.spark.sql(q)
+        finally:
+            for n in range(len(places)):
+                self.spark.catalog.dropTempView(f"{tag}_{n}")
 
     def list_tables(self) -> list[str]:
         """Names of all views a query can read, in upper case."""
         self.open()
-        hidden = {"segment_aggregates", *(f"segment_by_{x.lower()}" for x in LEVELS)}
-        return sorted(t.name.upper() for t in self.spark.catalog.listTables() if t.name.lower() not in hidden)
+        return sorted(t.name.upper() for t in self.spark.catalog.listTables())
 
     def register_external(self, name: str, fmt: str, path: str | None = None, **options) -> None:
         """Any source Spark reads, as a view."""
@@ -114,8 +139,18 @@ class Engine:
             result = str(e)
         return json.dumps({"time": f"PT{time.time() - began:.3f}S", "query": query, "result": result})
 
-    def to_arrow(self, query: str, batch_rows: int = 1_048_576) -> list[pa.RecordBatch]:
-        return self.sql(query).toArrow().to_batches(max_chunksize=batch_rows)
+    def to_arrow(self, query: str, batch_rows: int = 1_048_576) -> Iterator[pa.RecordBatch]:
+        """The result batch by batch: the driver holds one partition at a time."""
+        def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                for at in range(0, b.num_rows, batch_rows):
+                    sink = pa.BufferOutputStream()
+                    with pa.ipc.new_stream(sink, b.schema) as w:
+                        w.write_batch(b.slice(at, batch_rows))
+                    yield pa.RecordBatch.from_arrays([pa.array([sink.getvalue().to_pybytes()], pa.binary())], names=["batch"])
+
+        for r in self.sql(query).mapInArrow(pack, "batch binary").toLocalIterator(prefetchPartitions=True):
+            yield from pa.ipc.open_stream(r["batch"])
 
     def run_file(self, path: str) -> list[str]:
         """Each line a query; empty lines and those that begin with -- are passed over."""
@@ -136,9 +171,9 @@ class Engine:
         return replace(self, settings=replace(self.settings, **changes))
 
 
-def by_calendar(v: Views, level: str) -> DataFrame:
+def by_calendar(v: Views, level: str, need: Need | None = None) -> DataFrame:
     """The segment view split at a calendar level's boundaries, with each piece's aggregates."""
-    x = v.exploded()
+    x = v.exploded(need)
     cols = [*PUBLIC, *v.dims, "_field", "_len", "_min", "_max", "_sum"]
     closed = F.col("rule").isNull() & (F.col("mtid").isin(*v.native) if v.native else F.lit(False))
     native = piece_aggregates(pieces(x.where(closed), level), None)

@@ -9,8 +9,6 @@ import pandas as pd
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
-PART = "array<struct<tid:int,start_time:timestamp,end_time:timestamp,mtid:int,model:binary,offsets:binary>>"
-
 
 def start(s: int, e: int, si: int, ts: int, strict: bool = False) -> int:
     """New start: the grid time at or before ``ts``; with ``strict`` the one at or after. The segment's own where ``ts``
@@ -30,52 +28,19 @@ def end(s: int, e: int, si: int, ts: int, strict: bool = False) -> int:
     return high - si if strict and high > ts else high
 
 
-def shifted(offsets: bytes, ticks: int) -> bytes:
-    k, n, off = struct.unpack(">iii", offsets)
-    return struct.pack(">iii", k, n, off + ticks)
-
-
-def register(spark: SparkSession, intervals: dict[int, int], models: tuple[str, ...]) -> None:
-    """Registers START, END and START_END, each giving an array of one segment for ``inline``, and ``seg_values``, the
-    stored values of a segment. Sampling intervals are looked up by tid in metadata sent with the functions."""
-    shared = spark.sparkContext.broadcast(intervals)
-
-    def ms(x) -> int:
-        return int(pd.Timestamp(x).value // 1_000_000)
-
-    def part(tid, s, e, mtid, model, offsets, t0, t1):
-        out = []
-        for k in range(len(tid)):
-            si, a, b = shared.value[int(tid[k])], ms(s[k]), ms(e[k])
-            na = start(a, b, si, ms(t0[k])) if t0 is not None else a
-            nb = end(a, b, si, ms(t1[k])) if t1 is not None else b
-            out.append([{"tid": int(tid[k]), "start_time": pd.Timestamp(na, unit="ms"), "end_time": pd.Timestamp(nb, unit="ms"), "mtid": int(mtid[k]), "model": bytes(model[k]), "offsets": shifted(bytes(offsets[k]), (na - a) // si)}])
-        return pd.Series(out)
-
-    @F.pandas_udf(PART)
-    def start_udf(tid: pd.Series, s: pd.Series, e: pd.Series, mtid: pd.Series, model: pd.Series, offsets: pd.Series, t: pd.Series) -> pd.Series:
-        return part(tid, s, e, mtid, model, offsets, t, None)
-
-    @F.pandas_udf(PART)
-    def end_udf(tid: pd.Series, s: pd.Series, e: pd.Series, mtid: pd.Series, model: pd.Series, offsets: pd.Series, t: pd.Series) -> pd.Series:
-        return part(tid, s, e, mtid, model, offsets, None, t)
-
-    @F.pandas_udf(PART)
-    def both_udf(tid: pd.Series, s: pd.Series, e: pd.Series, mtid: pd.Series, model: pd.Series, offsets: pd.Series, t0: pd.Series, t1: pd.Series) -> pd.Series:
-        return part(tid, s, e, mtid, model, offsets, t0, t1)
+def register(spark: SparkSession, models: tuple[str, ...], classes: dict) -> None:
+    """Registers ``seg_values``, the stored values of a segment given by its columns and interval, decoded in Arrow batches."""
 
     @F.pandas_udf("array<float>")
-    def values_udf(tid: pd.Series, s: pd.Series, e: pd.Series, mtid: pd.Series, model: pd.Series, offsets: pd.Series) -> pd.Series:
+    def values_udf(tid: pd.Series, s: pd.Series, e: pd.Series, mtid: pd.Series, model: pd.Series, offsets: pd.Series, si: pd.Series) -> pd.Series:
         from chronolith.operators.generator import DECODERS, use
 
-        use(models)
+        use(models, classes)
         out = []
-        for t, a, b, m, x, o in zip(tid, s, e, mtid, model, offsets):
+        ms = ((e - s) // pd.Timedelta(milliseconds=1)).tolist()
+        for span, m, x, o, step in zip(ms, mtid, model, offsets, si):
             k, n, off = struct.unpack(">iii", bytes(o))
-            si = shared.value[int(t)]
-            ticks = (ms(b) - ms(a)) // si + 1
-            out.append(np.asarray(DECODERS[m](bytes(x), off + ticks, n, si)[off:, k - 1]))
+            out.append(np.asarray(DECODERS[m](bytes(x), off + span // step + 1, n, step)[off:, k - 1]))
         return pd.Series(out, dtype=object)
 
-    for name, f in (("START", start_udf), ("END", end_udf), ("START_END", both_udf), ("seg_values", values_udf)):
-        spark.udf.register(name, f)
+    spark.udf.register("seg_values", values_udf)

@@ -11,6 +11,9 @@ import struct
 import numpy as np
 
 NAN = float("nan")
+#: Fixed value, for segments of equal length: per cent that make the whole of a value in the linear type's cone. A little over
+#: 100, so that the rounding of the line to float32 stays inside the bound.
+CONE = 100.1
 
 
 def error(approx: float, real: float) -> float:
@@ -152,7 +155,7 @@ class Swing(ModelType):
         else:
             dt, upper, lower = ts - self.t0, self.upper, self.lower
             for v in values:
-                room = abs(v) * (self.bound / 100.1)
+                room = abs(v) * (self.bound / CONE)
                 if upper is None:
                     upper, lower = (v + room - self.anchor) / dt, (v - room - self.anchor) / dt
                     continue
@@ -278,6 +281,14 @@ def register_model(cls: type[ModelType]) -> type[ModelType]:
     return cls
 
 
+OWN = tuple(REGISTRY)
+
+
+def user_types(names: tuple[str, ...]) -> dict[str, type[ModelType]]:
+    """Classes of user-defined types among ``names``, to be sent to workers with the function that needs them."""
+    return {n: REGISTRY[n] for n in names if n not in OWN}
+
+
 def assign_mtids(names: tuple[str, ...]) -> dict[str, int]:
     """The fallback is 1, the others follow in order of first use. The fallback can't be listed."""
     if FALLBACK in names:

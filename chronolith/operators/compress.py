@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from chronolith.models.types import user_types
 from chronolith.operators.generator import Settings, compress, stored, use
 from chronolith.session import millis
 
@@ -39,15 +40,17 @@ def encode(points: DataFrame, settings: Settings, chunk_ticks: int = CHUNK_TICKS
     """Stored segments of aligned points (tid, gid, si, ts_ms, value). A series' members are those of its group in
     ``points``; a (tid, ts_ms) that stands twice counts once."""
 
+    classes = user_types(settings.models)
+
     def fit(pdf: pd.DataFrame) -> pd.DataFrame:
-        swing = use(settings.models)
+        swing = use(settings.models, classes)
         gid, si = int(pdf["gid"].iloc[0]), int(pdf["si"].iloc[0])
         group = tuple(int(t) for t in pdf["tids"].iloc[0])
         at = {t: k for k, t in enumerate(group)}
         ticks: dict[int, list] = {}
         for tid, ts, v in zip(pdf["tid"].tolist(), pdf["ts_ms"].tolist(), pdf["value"].tolist()):
             ticks.setdefault(ts, [None] * len(group))[at[tid]] = v
-        rows = [stored(gid, si, s, swing) for s in compress([(ts, tuple(ticks[ts])) for ts in sorted(ticks)], group, si, settings)]
+        rows = [stored(gid, si, s, swing) for s in compress([(ts, tuple(ticks[ts])) for ts in sorted(ticks)], group, si, settings) if s.final]
         return pd.DataFrame(rows, columns=[c.split()[0] for c in RAW.split(", ")])
 
     groups = points.groupBy("gid").agg(F.array_sort(F.collect_set("tid")).alias("tids"))
@@ -61,9 +64,11 @@ def decode_arrays(segments: DataFrame, models: tuple[str, ...]) -> DataFrame:
     """Adds ``_values``: the values of the exploded row's member over the whole stored segment. Reads gid columns of
     the view: mtid, model, k (place among the members), n (members), len, t_off, si."""
 
+    classes = user_types(models)
+
     @F.pandas_udf("array<float>")
     def values(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.Series]:
-        use(models)
+        use(models, classes)
         from chronolith.operators.generator import DECODERS
 
         for mtid, model, k, n, ticks, off, si in batches:

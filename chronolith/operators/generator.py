@@ -234,8 +234,10 @@ NAMES: dict[int, str] = {}
 LOSSLESS = (Uncompressed, Gorilla)
 
 
-def use(models: tuple[str, ...]) -> int:
-    """Sets the decoders of these types' ids; returns the id of the linear type, 0 without it."""
+def use(models: tuple[str, ...], classes: dict | None = None) -> int:
+    """Sets the decoders of these types' ids, with user-defined ``classes`` that a worker doesn't know; returns the id of the
+    linear type, 0 without it."""
+    REGISTRY.update(classes or {})
     ids = assign_mtids(models)
     DECODERS.clear()
     NAMES.clear()

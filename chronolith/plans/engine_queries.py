@@ -8,16 +8,19 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chronolith.engine import Engine
 from chronolith.functions.calendar import FUNCTIONS, LEVELS
+from chronolith.operators import temporal
 from chronolith.operators.generator import Settings
 from chronolith.plans.grouping import Dimension, Dimensions, parse_clause
 from chronolith.session import shared_dir, utc
 from chronolith.sources.storage import Store
+from chronolith.streaming import ingest, transfer
 
 DAY, HOUR = 86_400_000, 3_600_000
 EVENT = [Dimension("Event", [("event_type", "text")])]
@@ -45,9 +48,9 @@ def raw(spark: SparkSession, d: str, name: str) -> DataFrame:
     return spark.sql(sql.replace("DATEDIFF_DAYS", DAYS["spark"]))
 
 
-def engine(spark: SparkSession, d: str, name: str, clause: str = "", derived: tuple = (), **settings) -> Engine:
-    """The set, compressed with these settings and correlation clause."""
-    key = (spark.sparkContext.applicationId, d, name, clause, derived, tuple(sorted(settings.items())))
+def engine(spark: SparkSession, d: str, name: str, clause: str = "", derived: tuple = (), store: str = "parquet", **settings) -> Engine:
+    """The set, compressed with these settings and correlation clause, in a store of this format."""
+    key = (spark.sparkContext.applicationId, d, name, clause, derived, store, tuple(sorted(settings.items())))
     if key not in _engines:
         points = raw(spark, d, name)
         _, _, si, dims = SETS[name]
@@ -57,7 +60,7 @@ def engine(spark: SparkSession, d: str, name: str, clause: str = "", derived: tu
         dimensions = Dimensions(dims)
         for r in meta:
             dimensions.add(r["source"], [r[c] for c in cols])
-        e = Engine(spark, Store(spark, f"{shared_dir(spark)}/engine-{uuid.uuid4().hex}"), Settings(**settings), [(p, x, dict(m)) for p, x, m in derived])
+        e = Engine(spark, Store(spark, f"{shared_dir(spark)}/engine-{uuid.uuid4().hex}", store), Settings(**settings), [(p, x, dict(m)) for p, x, m in derived])
         e.register({r["source"]: si for r in meta}, dimensions, [parse_clause(clause, dimensions)] if clause else [])
         e.ingest(points.select("source", "timestamp", "value"))
         _engines[key] = e
@@ -80,7 +83,8 @@ def add(name: str, data: str, query: str | Callable[[Engine], DataFrame], oracle
 
     QUERIES[name] = run
     if oracle:
-        SQL[name] = f"with {duck(data)} {oracle}"
+        more = oracle.upper().startswith("WITH ")  # a query with names of its own
+        SQL[name] = f"with {duck(data)}, {oracle[5:]}" if more else f"with {duck(data)} {oracle}"
 
 
 DUCK_AGG = {"COUNT": "count(*)", "MIN": "min(value)", "MAX": "max(value)", "SUM": "sum(value::double)", "AVG": "round(avg(value::double), 6)"}
@@ -152,11 +156,30 @@ PLAIN = {
     "dp_tumbling": ("ev_minute", "SELECT tid, date_trunc('day', timestamp) AS w, sum(value) AS s FROM DataPoint GROUP BY 1, 2"),
     "group_scan_time": ("ev_minute", "SELECT date_trunc('month', timestamp) AS w, min(value) AS a, max(value) AS z, avg(value) > 0 AS ok FROM DataPoint GROUP BY 1"),
 }
+PLAIN |= {
+    "dp_time_plus_interval": ("li_daily", f"SELECT tid, count(*) AS n FROM DataPoint WHERE timestamp < TIMESTAMP '{T0}' + INTERVAL '40' DAY GROUP BY tid"),
+    "dp_time_interval_left": ("li_daily", f"SELECT tid, count(*) AS n, sum(value) AS s FROM DataPoint WHERE INTERVAL '30' DAY + timestamp >= TIMESTAMP '{T1}' GROUP BY tid"),
+    "dp_time_between": ("li_daily", f"SELECT tid, count(*) AS n FROM DataPoint WHERE timestamp BETWEEN TIMESTAMP '{T0}' AND TIMESTAMP '1996-10-01' GROUP BY tid"),
+    "dp_time_or": ("li_daily", f"SELECT count(*) AS n FROM DataPoint WHERE timestamp < TIMESTAMP '1993-01-01' OR timestamp >= TIMESTAMP '{T1}'"),
+    "dp_time_two_bounds": ("li_daily", "SELECT count(*) AS n FROM DataPoint WHERE timestamp >= TIMESTAMP '1996-09-01' AND timestamp >= TIMESTAMP '1996-10-01' AND NOT timestamp > TIMESTAMP '1997-01-31'"),
+    "dp_time_in_subquery": ("li_daily", f"SELECT (SELECT count(*) FROM DataPoint WHERE timestamp < TIMESTAMP '{T0}') AS a, count(*) AS b FROM DataPoint WHERE timestamp >= TIMESTAMP '{T1}'"),
+    "dp_join_comma": ("li_daily", "SELECT d.tid, count(*) AS n FROM DataPoint d, (SELECT 1 AS tid, TIMESTAMP '1998-01-01' AS timestamp UNION ALL SELECT 2, TIMESTAMP '1990-01-01') e WHERE e.timestamp >= TIMESTAMP '1997-01-01' AND d.tid >= e.tid GROUP BY d.tid"),
+    "dp_self_join": ("li_daily", f"SELECT a.tid, count(*) AS n FROM DataPoint a JOIN DataPoint b ON a.tid = b.tid AND a.timestamp = b.timestamp + INTERVAL '1' DAY WHERE a.timestamp >= TIMESTAMP '{T0}' AND b.value > 10 GROUP BY a.tid"),
+    "dp_cte_twice": ("li_daily", "WITH x AS (SELECT tid, value, timestamp FROM DataPoint WHERE tid IN (1, 2)) SELECT a.n AS n, b.n AS m FROM (SELECT count(*) AS n FROM x WHERE tid = 1) a, (SELECT count(*) AS n FROM x WHERE tid = 2) b"),
+    "dp_percent_rank": ("ord_weekly", "SELECT tid, timestamp, round(percent_rank() OVER (PARTITION BY tid ORDER BY value), 6) AS r, round(cume_dist() OVER (PARTITION BY tid ORDER BY value), 6) AS c FROM DataPoint"),
+    "dp_lead_nth": ("ord_weekly", "SELECT tid, timestamp, lead(value, 2) OVER (PARTITION BY tid ORDER BY timestamp) AS l, nth_value(value, 3) OVER (PARTITION BY tid ORDER BY timestamp ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS t FROM DataPoint"),
+    "dp_range_frame": ("ord_weekly", "SELECT tid, timestamp, sum(value) OVER (PARTITION BY tid ORDER BY timestamp RANGE BETWEEN INTERVAL '21' DAY PRECEDING AND CURRENT ROW) AS s FROM DataPoint"),
+    "dp_intersect_all": ("li_daily", "SELECT value FROM DataPoint WHERE tid = 1 INTERSECT ALL SELECT value FROM DataPoint WHERE tid = 2"),
+    "dp_except_all": ("li_daily", "SELECT value FROM DataPoint WHERE tid = 1 EXCEPT ALL SELECT value FROM DataPoint WHERE tid = 3"),
+    "dp_string_functions": ("ord_weekly", "SELECT upper(substr(nation, 1, 3)) AS k, max(length(nation)) AS l, min(replace(region, 'A', '-')) AS r, count(*) AS n FROM DataPoint WHERE lower(nation) LIKE '%an%' GROUP BY 1"),
+    "dp_math_functions": ("ord_weekly", "SELECT tid, round(sum(sqrt(value)), 4) AS q, sum(floor(value / 2)) AS f, max(greatest(value, 3)) AS g, sum(abs(value - 4)) AS a FROM DataPoint GROUP BY tid"),
+}
 for name, (data, q) in PLAIN.items():
     add(name, data, q, q.replace("DataPoint", "p").replace("sum(value)", "sum(value::double)").replace("avg(value)", "avg(value::double)").replace("stddev_samp(value)", "stddev_samp(value::double)"))
-add("dp_join_range", "ev_hourly", "SELECT s.tid, count(*) AS n FROM Segment s JOIN DataPoint d ON s.tid = d.tid AND d.timestamp BETWEEN s.start_time AND s.end_time GROUP BY s.tid", "select tid, count(*) n from p group by 1")
-add("dp_join_asof", "ev_hourly", "SELECT u.tid, u.at, max_by(d.value, d.timestamp) AS v FROM (SELECT tid, explode(sequence(TIMESTAMP '2024-01-05', TIMESTAMP '2024-01-25', INTERVAL '1' DAY)) AS at FROM (SELECT DISTINCT tid FROM Segment) q) u JOIN DataPoint d ON d.tid = u.tid AND d.timestamp <= u.at AND d.timestamp > u.at - INTERVAL '30' DAY GROUP BY u.tid, u.at",
-    "select u.tid, u.ts as \"at\", d.value v from (select distinct tid, unnest(generate_series(timestamp '2024-01-05', timestamp '2024-01-25', interval 1 day)) ts from p) u asof join p d on d.tid = u.tid and d.timestamp <= u.ts")
+add("dp_join_range", "ev_hourly", lambda e: temporal.interval_join(e.sql("SELECT tid, start_time, end_time FROM Segment"), e.sql("SELECT tid, timestamp FROM DataPoint"), "tid", "start_time", "end_time", "timestamp").groupBy("tid").agg(F.count(F.lit(1)).alias("n")), "select tid, count(*) n from p group by 1")
+add("dp_join_asof", "ev_hourly", lambda e: temporal.asof_join(e.sql("SELECT tid, explode(sequence(TIMESTAMP '2024-01-05', TIMESTAMP '2024-03-25', INTERVAL '1' DAY)) AS at FROM (SELECT DISTINCT tid FROM Segment) q"), e.sql("SELECT tid, timestamp, value AS v FROM DataPoint"), "tid", "at", "timestamp", ["v"]),
+    "select u.tid, u.ts as \"at\", d.value v from (select distinct tid, unnest(generate_series(timestamp '2024-01-05', timestamp '2024-03-25', interval 1 day)) ts from p) u asof left join p d on d.tid = u.tid and d.timestamp <= u.ts")
+add("dp_join_lateral", "ord_weekly", "SELECT n.n_nationkey, q.s, q.m FROM nation n, LATERAL (SELECT sum(value) AS s, max(value) AS m FROM DataPoint d WHERE d.nation = n.n_name) q", "select n.n_nationkey, q.s, q.m from nation n, lateral (select sum(value::double) as s, max(value) as m from p d where d.nation = n.n_name) q")
 add("dp_pivot", "li_daily", "SELECT * FROM (SELECT returnflag, linestatus, value FROM DataPoint) PIVOT (sum(value) FOR linestatus IN ('F' AS f, 'O' AS o))", "select returnflag, sum(case when linestatus = 'F' then value::double end) f, sum(case when linestatus = 'O' then value::double end) o from p group by 1")
 add("dp_sliding", "ev_hourly", lambda e: e.sql("SELECT * FROM DataPoint").groupBy("tid", F.window("timestamp", "2 days", "1 day").alias("w")).agg(F.sum("value").alias("s")).select("tid", F.col("w.start").alias("w"), "s"),
     "select tid, d - interval (k) day as w, sum(value::double) s from (select tid, date_trunc('day', timestamp) d, value from p), (select unnest([0, 1]) k) group by 1, 2")
@@ -173,7 +196,55 @@ for m in ("pmc_mean", "swing_filter", "gorilla"):
 add("model_forced_uncompressed", "ev_hourly", "SELECT tid, timestamp, value FROM DataPoint", "select tid, timestamp, value from p", models=())
 add("derived_aggregates", "li_daily", "SELECT tid, SUM_S(#) AS s, MIN_S(#) AS a FROM Segment WHERE tid > 6 GROUP BY tid", "select 7::int tid, sum(value::double * 2 + 1) s, min(value * 2 + 1)::float a from p where tid = 1", derived=(("A_F", "value * 2 + 1", (("returnflag", "D"), ("linestatus", "F"))),))
 add("derived_points", "li_daily", "SELECT tid, timestamp, value FROM DataPoint WHERE tid > 6", "select 7::int tid, timestamp, (value * 2 + 1)::float as value from p where tid = 1", derived=(("A_F", "value * 2 + 1", (("returnflag", "D"), ("linestatus", "F"))),))
-add("segment_stats", "li_daily", lambda e: e.stats(), None)
+add("segment_stats", "li_daily", lambda e: e.stats().agg(F.sum("points").alias("points"), F.count(F.when(~(F.col("ratio") > 0), 1)).alias("without_ratio")), "select count(*)::bigint points, 0::bigint without_ratio from p")
+add("dp_percentile", "li_daily", "SELECT tid, round(percentile(value, 0.5), 4) AS m, round(percentile(value, 0.9), 4) AS h, approx_count_distinct(tid) AS d FROM DataPoint GROUP BY tid", "select tid, round(quantile_cont(value::double, 0.5), 4) m, round(quantile_cont(value::double, 0.9), 4) h, 1::bigint d from p group by 1")
+add("dp_json", "ord_weekly", "SELECT get_json_object(to_json(named_struct('t', tid, 'v', value)), '$.t') AS t, count(*) AS n FROM DataPoint GROUP BY 1", "select tid::varchar t, count(*) n from p group by 1")
+add("store_orc_scan", "li_daily", "SELECT tid, timestamp, value FROM DataPoint WHERE tid < 3", "select tid, timestamp, value from p where tid < 3", store="orc")
+add("store_compacted_scan", "li_daily", lambda e: compacted(e).sql("SELECT tid, timestamp, value FROM DataPoint"), "select tid, timestamp, value from p", length_bound=48)
+add("latency_bounded_scan", "li_daily", "SELECT tid, timestamp, value FROM DataPoint", "select tid, timestamp, value from p", maximum_latency=3, length_bound=40)
+add("stream_bulk_scan", "ev_hourly", lambda e: streamed(e, "bulk").sql("SELECT tid, timestamp, value FROM DataPoint"), "select tid, timestamp, value from p")
+add("stream_online_scan", "ev_hourly", lambda e: streamed(e, "online", end=False, maximum_latency=1).sql("SELECT tid, timestamp, value FROM DataPoint"), "select tid, timestamp, value from p")
+add("transfer_scan", "ord_weekly", lambda e: transferred(e).sql("SELECT tid, timestamp, value FROM DataPoint"), "select tid, timestamp, value from p")
+
+
+def fresh(e: Engine, **changes) -> Engine:
+    """An engine with the same series and settings and an empty store."""
+    out = Engine(e.spark, Store(e.spark, f"{shared_dir(e.spark)}/engine-{uuid.uuid4().hex}"), replace(e.settings, **changes))
+    out.store.upsert_series(e.store.series().drop("gid_bucket"))
+    out.store.write_models({r["name"]: r["mtid"] for r in e.store.models().collect()})
+    return out
+
+
+def compacted(e: Engine) -> Engine:
+    """The same segments, stored in three batches and rewritten into one."""
+    out = fresh(e)
+    for k in range(3):
+        out.store.append_segments(e.store.segments().drop("gid_bucket").where(F.pmod(F.hash("start_time"), F.lit(3)) == k))
+    out.store.optimize()
+    return out
+
+
+def streamed(e: Engine, mode: str, end: bool = True, **changes) -> Engine:
+    """The engine's points, streamed from files into another store."""
+    out = fresh(e, **changes)
+    folder = f"{shared_dir(e.spark)}/stream-{uuid.uuid4().hex}"
+    names = e.store.series().select("tid", "source")
+    points = e.sql("SELECT tid, timestamp, value FROM DataPoint").join(names, "tid").select("source", "timestamp", "value")
+    points.orderBy("timestamp").coalesce(1).write.parquet(f"{folder}/in")
+    if end:
+        ingest.end_of_input(out).coalesce(1).write.mode("append").parquet(f"{folder}/in")
+    rows = e.spark.readStream.schema("source string, timestamp timestamp, value float").parquet(f"{folder}/in")
+    ingest.ingest_stream(out, rows, f"{folder}/state", mode).awaitTermination()
+    return out
+
+
+def transferred(e: Engine) -> Engine:
+    """The engine's segments, sent twice over a folder to a centre, which takes each batch once."""
+    out, folder = fresh(e), f"{shared_dir(e.spark)}/transfer-{uuid.uuid4().hex}"
+    for _ in range(2):
+        transfer.send(e, folder)
+    transfer.receive(out, folder, f"{folder}-state").awaitTermination()
+    return out
 
 
 def violations(e: Engine, bound: int) -> DataFrame:

@@ -145,7 +145,7 @@ class Store:
         if len(old) < 2:
             return
         s = self.bucketed(self.read("segment", SEGMENTS, state).drop("gid_bucket"))
-        name = self.folder(s, "segment")
+        name = self.folder(s, "segment", f"compacted-{uuid.uuid4().hex}")
 
         def change(now: dict) -> None:
             held = now["tables"]["segment"]

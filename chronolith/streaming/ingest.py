@@ -12,6 +12,7 @@ from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from chronolith.engine import Engine
+from chronolith.models.types import user_types
 from chronolith.operators.compress import RAW
 from chronolith.operators.generator import Generator, Settings, stored, use
 from chronolith.session import millis
@@ -58,8 +59,10 @@ def fit_stream(points: DataFrame, groups: dict[int, tuple[tuple[int, ...], int]]
     """Stored segments, final or temporary, of a stream of (tid, gid, ts_ms, value). ``groups`` gives each gid's members and
     interval."""
 
+    classes = user_types(settings.models)
+
     def step(key: tuple, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        swing = use(settings.models)
+        swing = use(settings.models, classes)
         gid = int(key[0])
         tids, si = groups[gid]
         fitter = pickle.loads(state.get[0]) if state.exists else GroupFitter(tids, si, settings, delay_ms)

@@ -5,6 +5,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from chronolith.engine import Engine
+from chronolith.models.types import REGISTRY, Uncompressed, register_model
+from chronolith.operators import temporal
 from chronolith.operators.compress import align
 from chronolith.operators.generator import Settings
 from chronolith.plans.grouping import parse_clause, parse_dimensions
@@ -153,7 +155,101 @@ def test_transfer(spark, tmp_path):
     edge, centre = build(spark, tmp_path / "edge"), Engine(spark, Store(spark, str(tmp_path / "centre")))
     edge.ingest(points(spark))
     transfer.register(centre, edge.store.series())
-    transfer.send(edge, str(tmp_path / "drop"), "1")
+    assert transfer.send(edge, str(tmp_path / "drop")) and transfer.send(edge, str(tmp_path / "drop")) is None
     for _ in range(2):
         transfer.receive(centre, str(tmp_path / "drop"), str(tmp_path / "cp")).awaitTermination()
     assert centre.sql("SELECT count(*) AS n FROM DataPoint").first()["n"] == 390
+
+
+def test_views_stay_whole_after_a_narrowed_query(spark, engine):
+    engine.open()
+    every = spark.sql("SELECT count(*) FROM DataPoint").first()[0]
+    assert engine.sql("SELECT count(*) FROM DataPoint WHERE timestamp < TIMESTAMP '1970-01-01 00:30:00' AND tid = 1").first()[0] < every
+    assert spark.sql("SELECT count(*) FROM DataPoint").first()[0] == every
+    assert not [t.name for t in spark.catalog.listTables() if t.name.startswith("v") and t.name.endswith("_0")]
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().toString()
+
+
+def test_plans_reach_the_scan(engine):
+    p = plan_of(engine.sql("SELECT count(*) FROM DataPoint"))
+    assert "ArrowEvalPython" not in p and "model" not in p.split("ReadSchema")[-1][:200]
+    p = plan_of(engine.sql("SELECT sum(value) FROM DataPoint WHERE tid = 1 AND timestamp >= TIMESTAMP '1970-01-01 00:30:00' + INTERVAL '1' MINUTE"))
+    assert "EqualTo(gid," in p or "In(gid," in p
+    assert "GreaterThanOrEqual(end_time,1970-01-01 00:31:00" in p
+    assert "ArrowEvalPython" not in plan_of(engine.sql("SELECT inline(START_END(#, TIMESTAMP '1970-01-01 00:10:00', TIMESTAMP '1970-01-01 00:30:00')) FROM Segment"))
+
+
+def test_two_writers_lose_nothing(spark, tmp_path, engine):
+    """Both have seen the same state before either publishes."""
+    a, b = Store(spark, str(tmp_path / "s")), Store(spark, str(tmp_path / "s"))
+    seg = engine.store.segments().drop("gid_bucket")
+    n = seg.count()
+    was = b.state
+    first = [a.state()]
+    b.state = lambda: first.pop() if first else was()
+    a.append_segments(seg)
+    b.append_segments(seg)  # begins from the state before a's change, and has to begin again
+    assert Store(spark, str(tmp_path / "s")).segments().count() == 2 * n
+    ids = [s.allocate_ids(3, 2) for s in (a, b, a)]
+    assert sorted(ids) == [(1, 1), (4, 3), (7, 5)]
+    assert a.vacuum(0) == [] and len(a.version("segment")) == 2
+
+
+def test_temporary_segments_go_as_final_ones_come(spark, tmp_path, engine):
+    s = Store(spark, str(tmp_path / "s"))
+    seg = engine.store.segments().drop("gid_bucket")
+    n = seg.count()
+    s.append_segments(seg.where("false"), "0", seg.withColumn("is_final", F.lit(False)))
+    assert s.segments().where("not is_final").count() == n
+    reader = s.segments()  # of the state before
+    s.append_segments(seg, "1", seg.select("gid").distinct().join(seg.where("false").withColumnRenamed("gid", "g"), F.col("gid") == F.col("g"), "left").select(*seg.columns))
+    assert s.segments().where("is_final").count() == s.segments().count() == n == reader.count()
+
+
+def test_batches_are_rewritten_into_one(spark, tmp_path, engine):
+    s = Store(spark, str(tmp_path / "s"), "orc")
+    seg = engine.store.segments().drop("gid_bucket").limit(1).persist()
+    for k in range(Store.COMPACT_EVERY):
+        s.append_segments(seg, str(k))
+    assert len(s.version("segment")) == 1 and s.segments().count() == Store.COMPACT_EVERY
+    assert len(s.vacuum(0)) == Store.COMPACT_EVERY and s.segments().count() == Store.COMPACT_EVERY
+
+
+def test_user_model_types_reach_the_workers(spark, tmp_path):
+    class Halved(Uncompressed):
+        name = "mine"
+
+        def payload(self):
+            return b"m" + super().payload()
+
+        @staticmethod
+        def decode(payload, ticks, width, si):
+            return Uncompressed.decode(payload[1:], ticks, width, si)
+
+    register_model(Halved)
+    try:
+        e = Engine(spark, Store(spark, str(tmp_path / "m")), Settings(models=("mine",)))
+        e.register({"a": 60_000})
+        e.ingest(spark.range(70).select(F.lit("a").alias("source"), F.timestamp_millis(F.col("id") * 60_000).alias("timestamp"), F.col("id").cast("float").alias("value")))
+        assert [r["value"] for r in e.sql("SELECT value FROM DataPoint ORDER BY timestamp").collect()] == [float(k) for k in range(70)]
+        assert {r["name"] for r in e.stats().collect()} == {"mine"}
+    finally:
+        del REGISTRY["mine"]
+
+
+def test_asof_looks_back_without_limit(spark):
+    day = lambda c: F.timestamp_millis(F.col(c) * 86_400_000)
+    left = spark.createDataFrame([(1, 50), (1, 5), (1, 0), (2, 3), (None, 3), (1, 90), (3, 1)], "k int, d long").select("k", day("d").alias("at"), F.lit("x").alias("v"))
+    right = spark.createDataFrame([(1, 5, 1.0), (1, 10, 2.0), (2, 4, 3.0), (1, None, 9.0), (None, 1, 9.0)], "k int, d long, w double").select("k", day("d").alias("ts"), "w", F.lit(0).alias("at"))
+    got = {(r["k"], r["at"].timestamp() // 86_400): r["w"] for r in temporal.asof_join(left, right, "k", "at", "ts", ["w"]).collect()}
+    assert got == {(1, 50): 2.0, (1, 5): 1.0, (1, 0): None, (2, 3): None, (None, 3): None, (1, 90): 2.0, (3, 1): None}
+
+
+def test_interval_join_against_pairs(spark):
+    i = spark.createDataFrame([(1, 0, 30), (1, 10, 12), (2, 5, 4), (None, 0, 9), (1, 100, None)], "k int, a long, b long").select("k", F.timestamp_millis("a").alias("s"), F.timestamp_millis("b").alias("e"))
+    p = spark.createDataFrame([(1, 10), (1, 31), (1, 30), (2, 5), (None, 3), (1, None)], "k int, t long").select("k", F.timestamp_millis("t").alias("t"))
+    for bucket in (3, 1000):
+        assert sorted((r["k"], r["t"].microsecond // 1000) for r in temporal.interval_join(i, p, "k", "s", "e", "t", bucket).collect()) == [(1, 10), (1, 10), (1, 30)]

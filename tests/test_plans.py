@@ -1,7 +1,11 @@
 import pytest
 
+from datetime import datetime, timedelta, timezone
+
+from pyspark.sql import types as T
+
 from chronolith.functions.segments import end, start
-from chronolith.plans import config, rewrite
+from chronolith.plans import config, narrow, rewrite
 from chronolith.plans.grouping import group, parse_clause, parse_dimensions
 
 DIMS = parse_dimensions("Location, country text, region text\n\na, DK, North\nb, DK, South\nc, DE, South\n")
@@ -43,13 +47,52 @@ def test_model_aggregates():
     q = rewrite.model_aggregates(rewrite.expand("SELECT tid, SUM_S(#) FROM Segment GROUP BY tid"))
     assert "sum(_sum)" in q and "FROM segment_aggregates" in q
     q = rewrite.model_aggregates("SELECT MIN_S(x.tid, x.a, x.b, x.c, x.d, x.e) FROM (SELECT 1 FROM Segment) x")
-    assert "seg_values(x.tid, x.a" in q and "FROM Segment" in q
+    assert "seg_values(x.tid, x.a" in q and "FROM segment_parts" in q and "x._si" in q
+
+
+def needed(spark, condition, source="DataPoint d"):
+    """What Catalyst's plan tells of the stand-in of DataPoint."""
+    df, number = narrow.stand_in(spark, T._parse_datatype_string("tid int, timestamp timestamp, value float, region string"))
+    df.createOrReplaceTempView("needed_d")
+    spark.sql("select timestamp '2024-01-05' as timestamp, 1 as tid").createOrReplaceTempView("other")
+    plan = spark.sql(f"SELECT count(*) FROM {source.replace('DataPoint', 'needed_d')} WHERE {condition}")._jdf.queryExecution().optimizedPlan()
+    return narrow.needs(plan, {number: "d"}, {"tid", "region"}).get("d")
+
+
+def day(d):
+    return (datetime(2024, 1, 1, tzinfo=timezone.utc) + timedelta(days=d - 1)).timestamp() * 1e6
+
+
+@pytest.mark.parametrize("condition,low,high", [
+    ("timestamp >= TIMESTAMP '2024-01-02' AND timestamp < '2024-01-09'", 2, 9),
+    ("timestamp < TIMESTAMP '2024-01-02' + INTERVAL '10' DAY", None, 12),
+    ("INTERVAL '1' DAY + timestamp >= TIMESTAMP '2024-01-02'", None, None),
+    ("TIMESTAMP '2024-01-02' <= timestamp", 2, None),
+    ("timestamp BETWEEN '2024-1-9' AND '2024-01-10'", 9, 10),
+    ("timestamp > '2024-01-03' OR tid = 1", None, None),
+    ("timestamp > '2024-01-03' OR timestamp = '2024-01-02'", 2, None),
+    ("NOT timestamp < '2024-01-03'", 3, None),
+    ("timestamp IN (TIMESTAMP '2024-01-03', TIMESTAMP '2024-01-05')", 3, 5)])
+def test_time_bounds(spark, condition, low, high):
+    n = needed(spark, condition)
+    assert (n.low, n.high) == (low and day(low), high and day(high))
+
+
+def test_bounds_of_another_table(spark):
+    n = needed(spark, "e.timestamp >= '2024-01-04' AND d.tid = e.tid", "DataPoint d, other e")
+    assert n.low is None and n.high is None
+
+
+def test_needs_of_series_and_columns(spark):
+    n = needed(spark, "tid = 2 AND region LIKE 'A%'")
+    assert len([p for p in n.about if "2" in p or "A" in p]) >= 2 and n.columns is not None and "value" not in n.columns
+    assert "value" in needed(spark, "value > 3").columns
 
 
-def test_time_bounds():
-    assert rewrite.narrow("SELECT * FROM DataPoint WHERE timestamp >= TIMESTAMP '2020-01-01' AND timestamp < '2020-02-01' AND tid = 1") == ("2020-01-01", "2020-02-01")
-    assert rewrite.narrow("SELECT * FROM DataPoint WHERE timestamp BETWEEN '2020-01-01' AND '2020-01-03'") == ("2020-01-01", "2020-01-03")
-    assert rewrite.narrow("SELECT * FROM DataPoint WHERE timestamp >= '2020-01-01' OR tid = 1") == (None, None)
+def test_renamed_tables():
+    name = lambda t, n: f"x{n}" if t == "DATAPOINT" else None
+    assert rewrite.renamed("SELECT DataPoint.tid FROM DataPoint WHERE tid > 1", name) == "SELECT DataPoint.tid FROM x0 AS DataPoint WHERE tid > 1"
+    assert rewrite.renamed("select 'FROM DataPoint' from datapoint d, DataPoint AS e join DataPoint", name) == "select 'FROM DataPoint' from x0 d, x1 AS e join x2 AS DataPoint"
 
 
 def test_calendar_needs_one_block():
