@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import unicodedata
+import uuid
 from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -10,17 +11,22 @@ from dataclasses import dataclass, field
 import numpy as np
 import pyarrow as pa
 import regex
+from pyarrow import dataset
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from chronolith.session import shared_dir
+from chronolith.sources.files import arrow_filesystem
+
 #: Characters in a q-gram, of the text without anything but letters and digits.
 Q = 8
 #: Successive words of an item that make a leak.
 WORDS = 15
-#: Words among those that may be altered; each costs at most its length plus Q - 1 shared q-grams.
-ALTERED = 3
-#: Least share of an aligned passage's words that match as they are.
+#: Least share of an aligned passage's words that match as they are: of 15 words 2 may be altered, of 20 words 3.
 MATCHED = 0.85
+#: Words among WORDS that the filter lets be lost; each costs at most its length plus Q - 1 shared q-grams. One more than
+#: the alignment does, as words put in between cost q-grams, too.
+ALTERED = int(WORDS * (1 - MATCHED)) + 1
 #: Width of a diagonal band, in characters; bands overlap by half.
 BAND = 64
 #: Characters of item text in one block. Items beyond it go into further blocks, each against all documents.
@@ -226,21 +232,21 @@ def leaks(docs: DataFrame, evals: DataFrame, words: int = WORDS) -> DataFrame:
     BLOCK_CHARS characters; nothing is shuffled but the found pairs. Null and empty texts and items of fewer words than
     ``words`` give no rows; rows that repeat an id give each pair once.
     """
-    got = evals.select("item_id", "text").where("text is not null and item_id is not null").withColumn("n", F.length("text"))
-    blocks: dict[int, list] = defaultdict(list)
-    size = 0
-    for r in got.orderBy("item_id", "text").toLocalIterator():
-        blocks[size // BLOCK_CHARS].append((r["item_id"], r["text"]))
-        size += r["n"]
     spark = docs.sparkSession
     kinds = dict(docs.dtypes)["doc_id"], dict(evals.dtypes)["item_id"]
     schema = f"doc_id {kinds[0]}, item_id {kinds[1]}"
+    got = evals.select("item_id", "text").where("text is not null and item_id is not null")
+    size = got.agg(F.sum(F.length("text"))).first()[0] or 0
+    blocks = -(-size // BLOCK_CHARS)
+    # items go to the workers as files, not over the driver
+    path = f"{shared_dir(spark)}/items-{uuid.uuid4().hex}"
+    got.withColumn("block", F.pmod(F.xxhash64("item_id"), F.lit(max(1, blocks))).cast("int")).repartition("block").write.partitionBy("block").parquet(path)
+    texts = docs.select("doc_id", "text").where("text is not null")
     out = spark.createDataFrame([], schema)
-    for rows in blocks.values():
-        shared = spark.sparkContext.broadcast(rows)
+    for block in range(blocks):
 
-        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            items = Items([i for i, _ in shared.value], [t for _, t in shared.value]).build()
+        def run(batches: Iterator[pa.RecordBatch], block=block) -> Iterator[pa.RecordBatch]:
+            items = index(f"{path}/block={block}")
             for b in batches:
                 ids, texts = b.column(0).to_pylist(), b.column(1).to_pylist()
                 rows = []
@@ -248,8 +254,25 @@ def leaks(docs: DataFrame, evals: DataFrame, words: int = WORDS) -> DataFrame:
                     rows += [(ids[at + d], items.ids[i]) for d, i, n in found([t or "" for t in texts[at : at + 256]], items) if n >= words]
                 yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], b.schema.field(0).type), pa.array([r[1] for r in rows], KINDS[kinds[1]])], names=["doc_id", "item_id"])
 
-        out = out.unionByName(docs.select("doc_id", "text").where("text is not null").mapInArrow(run, schema))
+        out = out.unionByName(texts.mapInArrow(run, schema))
     return out.distinct()
 
 
+_index: dict[str, Items] = {}
+
+
+def index(path: str) -> Items:
+    """The q-grams of a block of items, kept for the worker's next task."""
+    if path not in _index:
+        fs, folder = arrow_filesystem(path)
+        try:
+            t = dataset.dataset(folder, filesystem=fs, format="parquet").to_table(columns=["item_id", "text"])
+            rows = sorted(zip(t["item_id"].to_pylist(), t["text"].to_pylist()))
+        except FileNotFoundError:  # no item's hash falls here
+            rows = []
+        _index.clear()
+        _index[path] = Items([i for i, _ in rows], [x for _, x in rows]).build()
+    return _index[path]
+
+
 KINDS = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}

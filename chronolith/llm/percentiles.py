@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from chronolith.session import millis, written
 
 PROBS = (0.05, 0.25, 0.5, 0.75, 0.95)
+#: Largest error of a rank from summaries, relative to the group's size.
+EPS = 0.005
 
 
 def usable_values(df: DataFrame, keys: list[str], key: str = "tid", ts: str = "timestamp", value: str = "value") -> DataFrame:
@@ -20,16 +22,16 @@ def usable_values(df: DataFrame, keys: list[str], key: str = "tid", ts: str = "t
     return once.select(*[day if k == "day" else F.col(k) for k in keys], F.col("v").cast("double").alias("v"))
 
 
-def sorted_counts(values: DataFrame, keys: list[str]) -> DataFrame:
+def sorted_counts(values: DataFrame, keys: list[str], weight: str | None = None) -> DataFrame:
     """(*keys, v, c, lo, n): distinct values of each group with their number ``c``, the number ``lo`` of smaller
     ones and of all ``n``, from one full sort that is written to the shared folder.
 
     Equal values are counted before the sort, so a group of one repeated value is one row. The sort is by ranges of
     (keys, v): a hot group spreads over as many partitions as its size asks for. Each partition then counts its rows
     of each group; running totals of these small counts over the partitions are the offsets. Nulls in the keys are a
-    group of their own.
+    group of their own. With ``weight`` a row stands for that many values.
     """
-    counts = values.groupBy(*keys, "v").agg(F.count(F.lit(1)).alias("c"))
+    counts = values.groupBy(*keys, "v").agg((F.sum(weight) if weight else F.count(F.lit(1))).alias("c"))
     placed = counts.repartitionByRange(*keys, "v").sortWithinPartitions(*keys, "v")
     at = written(placed.withColumn("part", F.spark_partition_id()), "sorted")
     per_part = at.groupBy("part", *keys).agg(F.sum("c").alias("_c"))
@@ -49,7 +51,7 @@ def exact(values: DataFrame, keys: list[str], probs: tuple[float, ...] = PROBS)
     position p * (n - 1), exact. Groups without values give no row."""
     pos = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(p).alias("p")) for i, p in enumerate(probs)]))
     # of each row only the targets inside its own ranks [lo, lo + c) survive, before anything is moved again
-    s = sorted_counts(values, keys).where(F.lit(True))
+    s = sorted_counts(values, keys)
     s = s.select(*keys, "v", "c", "lo", "n", pos.alias("q"))
     at = F.col("q")["p"] * (F.col("n") - 1)
     holds = lambda k: (k >= F.col("lo")) & (k < F.col("lo") + F.col("c"))
@@ -61,7 +63,7 @@ def exact(values: DataFrame, keys: list[str], probs: tuple[float, ...] = PROBS)
     return s.groupBy(*keys, "n").agg(*[F.max(F.when(F.col("i") == i, F.col("x"))).alias(f"p{p * 100:g}".replace(".", "_")) for i, p in enumerate(probs)])
 
 
-def summaries(values: DataFrame, keys: list[str], eps: float = 0.005) -> DataFrame:
+def summaries(values: DataFrame, keys: list[str], eps: float = EPS) -> DataFrame:
     """(*keys, n, marks array<struct<v, w>>): of each part's sorted values every step-th, with step = max(1, floor(2 eps n)),
     each standing for the ``w`` values around it. Any rank read from the marks is off by at most eps * n; parts of fewer
     than 1 / eps values are kept whole. Combine with ``combine``: errors of parts add, so the bound stays eps of the total.
@@ -84,9 +86,10 @@ def combine(parts: DataFrame, keys: list[str], probs: tuple[float, ...] = PROBS)
     each result is within eps of the asked one, relative to the group's n. Marks are counted per value and
     ranked over (keys, v) by the same distributed sort as raw values."""
     m = parts.select(*keys, F.explode("marks").alias("m")).select(*keys, F.col("m.v").alias("v"), F.col("m.w").alias("w"))
-    m = m.groupBy(*keys, "v").agg(F.sum("w").alias("w"))
-    w = Window.partitionBy(*keys).orderBy("v")
-    # a group's marks are at most 1 / eps for each of its parts, whatever the number of its values
-    m = m.withColumns({"hi": F.sum("w").over(w), "n": F.sum("w").over(Window.partitionBy(*keys))})
-    return m.groupBy(*keys, "n").agg(*[
-        F.min(F.when(F.col("hi") > F.floor(F.lit(p) * (F.col("n") - 1)), F.col("v"))).alias(f"p{p * 100:g}".replace(".", "_")) for p in probs])
+    s = sorted_counts(m, keys, "w")
+    holds = lambda p: (F.col("lo") <= F.floor(F.lit(p) * (F.col("n") - 1))) & (F.floor(F.lit(p) * (F.col("n") - 1)) < F.col("lo") + F.col("c"))
+    hit = None
+    for p in probs:
+        hit = holds(p) if hit is None else hit | holds(p)
+    # of each group only the marks that hold a target go on
+    return s.where(hit).groupBy(*keys, "n").agg(*[F.max(F.when(holds(p), F.col("v"))).alias(f"p{p * 100:g}".replace(".", "_")) for p in probs])

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chronolith.llm import garbled, leaks, percentiles, prefix_bpe, repeats
+from chronolith.operators.readings import with_source
 from chronolith.session import utc
 
 
@@ -51,6 +52,22 @@ def p3_combined(spark: SparkSession, d: str) -> DataFrame:
     return percentiles.combine(percentiles.summaries(v, ["tid", "day"]), ["tid"])
 
 
+def p3_combined_bound(spark: SparkSession, d: str) -> DataFrame:
+    """Percentiles of ``p3_combined`` whose rank among the series' values is off by more than the bound, and the series."""
+    v = percentiles.usable_values(table(spark, d, "data_point"), ["tid"])
+    got = with_source(v, p3_combined(spark, d), "tid")
+    name = lambda p: f"p{p * 100:g}"
+    counts = [F.sum((F.col("v") < F.col(name(p))).cast("long")).alias(f"lt_{name(p)}") for p in percentiles.PROBS]
+    counts += [F.sum((F.col("v") <= F.col(name(p))).cast("long")).alias(f"le_{name(p)}") for p in percentiles.PROBS]
+    per = got.groupBy("tid", "n").agg(*counts, F.count(F.lit(1)).alias("seen"))
+    room = percentiles.EPS * F.col("n") + 1
+    off = [F.when((p * (F.col("n") - 1) < F.col(f"lt_{name(p)}") - room) | (p * (F.col("n") - 1) > F.col(f"le_{name(p)}") - 1 + room), 1).otherwise(0) for p in percentiles.PROBS]
+    total = off[0]
+    for o in off[1:]:
+        total = total + o
+    return per.agg(F.coalesce(F.sum(total + F.when(F.col("n") == F.col("seen"), 0).otherwise(1)), F.lit(0)).cast("long").alias("violations"), F.count(F.lit(1)).alias("series"))
+
+
 def p8_ids(spark: SparkSession, d: str) -> DataFrame:
     """Token ids of every document."""
     where = os.environ.get("CHRONOLITH_TOKENIZERS", "/opt/tokenizers")
@@ -88,7 +105,7 @@ def percentile_sql(keys: str, frm: str) -> str:
 
 QUERIES = {
     "p2_found": p2_found, "p2_collapsed": p2_collapsed,
-    "p3_percentiles": p3_percentiles, "p3_by_measure": p3_by_measure, "p3_by_day": p3_by_day, "p3_combined": p3_combined,
+    "p3_percentiles": p3_percentiles, "p3_by_measure": p3_by_measure, "p3_by_day": p3_by_day, "p3_combined": p3_combined, "p3_combined_bound": p3_combined_bound,
     "p8_ids": p8_ids, "p9_found": p9_found, "p10_found": p10_found, "p10_restored": p10_restored,
 }
 
@@ -97,5 +114,6 @@ SQL = {
     "p2_collapsed": f"with {RUNS} select tid, start_ms, end_ms, n, end_ms - start_ms duration_ms from g",
     "p3_percentiles": percentile_sql("tid", "once"),
     "p3_by_measure": percentile_sql("measure", "once join time_series using (tid)"),
+    "p3_combined_bound": f"with {ONCE} select 0::bigint violations, count(distinct tid) series from once where v is not null",
     "p3_by_day": percentile_sql("tid, date '1970-01-01' + (ts_ms // 86400000)::int as day", "once"),
 }
