@@ -40,6 +40,11 @@ def p4_flags(spark: SparkSession, d: str) -> DataFrame:
     return spikes.implausible(table(spark, d, "data_point"), table(spark, d, "time_series"), table(spark, d, "measure_limit"))
 
 
+def p4_impossible_stuck(spark: SparkSession, d: str) -> DataFrame:
+    """The two kinds that rules define, for comparison with SQL."""
+    return p4_flags(spark, d).where("impossible or stuck").select("tid", "ts_ms", "impossible", "stuck")
+
+
 def p5_rolling(spark: SparkSession, d: str) -> DataFrame:
     r = rolling.rolling_totals(table(spark, d, "data_point"))
     return r.select("tid", "day", *[x for w in (7, 30) for x in (F.round(f"sum_{w}", 2).alias(f"sum_{w}"), F.col(f"cnt_{w}"), F.round(f"avg_{w}", 4).alias(f"avg_{w}"))])
@@ -100,12 +105,20 @@ def rolling_sql() -> str:
  select tid, date '1970-01-01' + dy::int as day, {parts} from filled window {frames}"""
 
 
-QUERIES = {"p1_found": p1_found, "p1_compacted": p1_compacted, "p4_found": p4_found, "p4_flags": p4_flags, "p5_rolling": p5_rolling, "p6_found": p6_found, "p6_periods": p6_periods, "p7_found": p7_found, "p7_grid": p7_grid}
+QUERIES = {"p1_found": p1_found, "p1_compacted": p1_compacted, "p4_found": p4_found, "p4_flags": p4_flags, "p4_impossible_stuck": p4_impossible_stuck, "p5_rolling": p5_rolling, "p6_found": p6_found, "p6_periods": p6_periods, "p7_found": p7_found, "p7_grid": p7_grid}
 
 SQL = {
     "p1_found": """select gid, epoch_ms(start_time) start_ms, epoch_ms(end_time) end_ms, mtid, lower(hex(coalesce(gaps, ''::blob))) gaps_hex
  from segment group by gid, start_time, end_time, mtid, model, coalesce(gaps, ''::blob) having count(*) > 1""",
     "p1_compacted": """select distinct gid, epoch_ms(start_time) start_ms, epoch_ms(end_time) end_ms, mtid, lower(hex(model)) model_hex, lower(hex(coalesce(gaps, ''::blob))) gaps_hex from segment""",
+    "p4_impossible_stuck": f"""with {ONCE}, lim as (select tid, max(low) low, min(high) high from time_series join measure_limit using (measure) group by 1),
+ m as (select *, case when v = lag(v) over (partition by tid order by ts_ms) then 0 else 1 end s from once),
+ r as (select *, sum(s) over (partition by tid order by ts_ms rows unbounded preceding) run from m),
+ l as (select *, count(*) over (partition by tid, run) n from r),
+ z as (select tid, n, coalesce(lead(n) over (partition by tid order by n desc), 0) nx from (select distinct tid, n from l where v is not null)),
+ least_n as (select tid, min(n) least_n from z where n >= 40 and n >= 4 * nx group by 1),
+ f as (select l.tid, ts_ms, coalesce(v < low or v > high, false) impossible, coalesce(n >= least_n, false) stuck from l left join lim on l.tid = lim.tid left join least_n on l.tid = least_n.tid where v is not null)
+ select tid, ts_ms, impossible, stuck from f where impossible or stuck""",
     "p5_rolling": rolling_sql(),
     "p6_found": f"with {SEGS} select gid, pe gap_from_ms, s gap_to_ms from far where s > pe + si and s - pe <= 2592000000",
     "p6_periods": f"""with {SEGS}, isl as (select *, sum(case when pe is null or s > pe + si then 1 else 0 end) over (partition by gid order by s, e rows unbounded preceding) k from far)
