@@ -35,6 +35,7 @@ class Engine:
     store: Store
     settings: Settings = field(default_factory=Settings)
     derived: list[tuple[str | int, str, dict]] = field(default_factory=list)
+    batch_size: int = 50_000
 
     def register(self, intervals: dict[str, int], dims: Dimensions | None = None, clauses: list[Clause] = ()) -> DataFrame:
         """Assigns tids and gids to sources with these sampling intervals (ms) and stores the metadata. Returns it."""
@@ -53,7 +54,7 @@ class Engine:
     def ingest(self, points: DataFrame, mode: str = "strict") -> None:
         """Appends points (source, timestamp, value) of registered sources."""
         meta = self.store.series().select("source", "tid", "gid", F.col("sampling_interval").alias("si"), "scaling_factor")
-        self.store.append_segments(encode(align(points.join(meta, "source"), mode), self.settings))
+        self.store.append_segments(encode(align(points.join(meta, "source"), mode), self.settings), rows_a_file=self.batch_size)
 
     def views(self) -> Views:
         series = self.store.series()

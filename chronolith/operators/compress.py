@@ -4,12 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from chronolith.models.types import user_types
-from chronolith.operators.generator import Settings, compress, stored, use
+from chronolith.operators import vectorised
+from chronolith.operators.generator import Settings, compress, pack_gaps, stored, use
 from chronolith.session import millis
 
 STATS = "array<struct<tid:int,low:float,high:float,total:double>>"
@@ -53,10 +56,28 @@ def encode(points: DataFrame, settings: Settings, chunk_ticks: int = CHUNK_TICKS
         rows = [stored(gid, si, s, swing) for s in compress([(ts, tuple(ticks[ts])) for ts in sorted(ticks)], group, si, settings) if s.final]
         return pd.DataFrame(rows, columns=[c.split()[0] for c in RAW.split(", ")])
 
+    def fit_fast(t: pa.Table) -> pa.Table:
+        gid, si = t["gid"][0].as_py(), t["si"][0].as_py()
+        group = np.array(t["tids"][0].as_py())
+        when, tick = np.unique(t["ts_ms"].to_numpy(), return_inverse=True)
+        v = np.full((len(when), len(group)), np.nan)
+        v[tick, np.searchsorted(group, t["tid"].to_numpy())] = t["value"].to_numpy()
+        made = vectorised.compress(when, v, tuple(group.tolist()), si, settings)
+        n = len(made)
+        stats = pa.StructArray.from_arrays([pa.array([x for r in made for x in r[3]], pa.int32()), *(pa.array(np.concatenate([getattr(r[4], c) for r in made]) if made else np.zeros(0), k) for c, k in (("low", pa.float32()), ("high", pa.float32()), ("total", pa.float64())))], names=["tid", "low", "high", "total"])
+        edges = pa.array(np.r_[0, np.cumsum([len(r[3]) for r in made])].astype(np.int32), pa.int32())
+        ints = lambda k: pa.array([list(r[k]) for r in made], pa.list_(pa.int32()))
+        of = lambda c, k: pa.array([getattr(r[4], c) for r in made], k)
+        cols = [
+            pa.array([gid] * n, pa.int32()), pa.array([r[0] for r in made], pa.int64()), pa.array([r[1] for r in made], pa.int64()), of("mtid", pa.int32()), of("model", pa.binary()),
+            pa.array([pack_gaps(r[2]) for r in made], pa.binary()), pa.array([si] * n, pa.int32()), ints(2), ints(3), pa.array([0] * n, pa.int32()), of("c0", pa.float64()), of("c1", pa.float64()),
+            pa.ListArray.from_arrays(edges, stats), pa.array([True] * n)]
+        return pa.table(cols, names=[c.split()[0] for c in RAW.split(", ")])
+
     groups = points.groupBy("gid").agg(F.array_sort(F.collect_set("tid")).alias("tids"))
     chunk = F.floor(F.col("ts_ms") / (F.col("si").cast("long") * chunk_ticks))
-    rows = points.join(groups, "gid").withColumn("chunk", chunk)
-    made = rows.groupBy("gid", "chunk").applyInPandas(fit, RAW)
+    rows = points.join(groups, "gid").withColumn("chunk", chunk).groupBy("gid", "chunk")
+    made = rows.applyInArrow(fit_fast, RAW) if vectorised.applies(settings) else rows.applyInPandas(fit, RAW)
     return made.withColumns({c: F.timestamp_millis(c) for c in ("start_time", "end_time")})
 
 

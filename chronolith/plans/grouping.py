@@ -147,27 +147,53 @@ def parse_clause(line: str, dims: Dimensions) -> Clause:
     return c
 
 
+def agreement(c: Clause, g: list[str], dims: Dimensions) -> tuple | None:
+    """For a clause without distance: what all series of two groups must have in common for the clause to hold for both
+    together; None where it can't hold for this one."""
+    if not c.correlated(g, dims):
+        return None
+    return tuple(dims.path(g[0], d)[: wanted(level, d)] for d, level in ((dims.named(n), x) for n, x in c.levels))
+
+
+def merged(groups: list[list[str]], c: Clause, intervals: dict[str, int], dims: Dimensions) -> list[list[str]]:
+    """Groups merged until the clause holds for no two together. With a distance, later groups are tried against each in turn:
+    what doesn't fit a group doesn't fit a larger one either. Without, groups that agree are found by hash."""
+    out: list[list[str]] = []
+    if c.distance is None:
+        at: dict[tuple, int] = {}
+        for g in groups:
+            key = agreement(c, g, dims)
+            key = None if key is None else (intervals[g[0]], key)
+            if key is not None and key in at:
+                out[at[key]] = out[at[key]] + g
+                continue
+            if key is not None:
+                at[key] = len(out)
+            out.append(g)
+        return out
+    rest = groups
+    while rest:
+        first, others = rest[0], []
+        for g in rest[1:]:
+            if intervals[g[0]] == intervals[first[0]] and c.correlated(first + g, dims):
+                first = first + g
+            else:
+                others.append(g)
+        out.append(first)
+        rest = others
+    return out
+
+
 def group(sources: list[str], intervals: dict[str, int], dims: Dimensions, clauses: list[Clause]) -> tuple[list[list[str]], dict[str, float]]:
-    """Groups of correlated sources and each source's scaling factor. Each clause merges groups pairwise until none can be
-    merged; only series of one sampling interval share a group. Scaling applies to all series, grouped or not."""
+    """Groups of correlated sources and each source's scaling factor. Each clause merges groups until none can be merged; only
+    series of one sampling interval share a group. Scaling applies to all series, grouped or not."""
     groups = [[s] for s in sources]
     for c in clauses:
-        merged = True
-        while merged:
-            merged = False
-            for i in range(len(groups)):
-                for j in range(i + 1, len(groups)):
-                    both = groups[i] + groups[j]
-                    if len({intervals[s] for s in both}) == 1 and c.correlated(both, dims):
-                        groups[i] = both
-                        del groups[j]
-                        merged = True
-                        break
-                if merged:
-                    break
+        groups = merged(groups, c, intervals, dims)
     factors = {}
     for s in sources:
         for c in clauses:
             if (f := c.scaling(s, dims)) is not None:
                 factors[s] = f
-    return [sorted(g, key=sources.index) for g in groups], factors
+    order = {s: k for k, s in enumerate(sources)}
+    return [sorted(g, key=order.get) for g in groups], factors

@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import glob
-import os
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,15 +9,25 @@ from pyspark.sql import functions as F
 DECIMAL = {"en": (".", ","), "da": (",", "."), "de": (",", "."), "fr": (",", " "), "es": (",", ".")}
 
 
-def expand(path: str) -> list[str]:
-    """A file, a folder's visible files, a glob, or ip:port, sorted."""
+def expand(path: str, spark: SparkSession) -> list[str]:
+    """A file, a folder's visible files, a glob, or ip:port, sorted, on any file system that Hadoop knows."""
     if is_socket(path):
         return [path]
-    if any(c in path for c in "*?["):
-        return sorted(glob.glob(path))
-    if os.path.isdir(path):
-        return sorted(os.path.join(path, f) for f in os.listdir(path) if not f.startswith((".", "_")))
-    return [path]
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not any(c in path for c in "*?[{"):
+        if not fs.exists(at):
+            return []
+        if fs.getFileStatus(at).isFile() or path.rstrip("/").endswith((".orc", ".parquet")):
+            return [path]
+        path = f"{path.rstrip('/')}/*"
+    found = [s.getPath() for s in fs.globStatus(spark._jvm.org.apache.hadoop.fs.Path(path)) or []]
+    return sorted(p.toString() for p in found if not p.getName().startswith((".", "_")))
+
+
+def names(spark: SparkSession, path: str) -> list[str]:
+    """Names of the sources under a path: those of the files, as the readers give them."""
+    return [f if is_socket(f) else f.rstrip("/").rsplit("/", 1)[-1] for f in expand(path, spark)]
 
 
 def is_socket(path: str) -> bool:
@@ -80,7 +87,7 @@ def read_socket(spark: SparkSession, address: str, **csv) -> DataFrame:
 
 def read(spark: SparkSession, path: str, **options) -> DataFrame:
     """Chooses the reader by name: ip:port, .orc, .parquet, else delimited text. All files of a path are one frame."""
-    files = expand(path)
+    files = expand(path, spark)
     if len(files) == 1 and is_socket(files[0]):
         return read_socket(spark, files[0], **options)
     kinds: dict[str, list[str]] = {}

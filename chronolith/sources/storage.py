@@ -73,10 +73,11 @@ class Store:
 
     # Tables.
 
-    def folder(self, df: DataFrame, table: str, batch: str | None = None) -> str:
+    def folder(self, df: DataFrame, table: str, batch: str | None = None, rows_a_file: int | None = None) -> str:
         """Writes rows as a folder that nothing names yet. A batch that has a name and comes again writes the same folder."""
         name = f"batch={batch or uuid.uuid4().hex}"
         w = df.write.format(self.format).mode("overwrite")
+        w = w.option("maxRecordsPerFile", rows_a_file) if rows_a_file else w
         (w.partitionBy("gid_bucket") if table in ("segment", "temporary") else w).save(self.files.uri(f"{table}/{name}"))
         return name
 
@@ -104,11 +105,11 @@ class Store:
         s = segments.withColumn("gid_bucket", F.pmod("gid", F.lit(self.BUCKETS)))
         return s.repartitionByRange("gid_bucket", "gid", "start_time").sortWithinPartitions("gid_bucket", "gid", "start_time")
 
-    def append_segments(self, segments: DataFrame, batch: str | None = None, temporary: DataFrame | None = None) -> None:
+    def append_segments(self, segments: DataFrame, batch: str | None = None, temporary: DataFrame | None = None, rows_a_file: int | None = None) -> None:
         """Adds a batch. ``temporary`` (with the gids in ``temporary_of`` rows of null time) replaces, in the same change, the
         temporary segments of the groups it names."""
         s = self.bucketed(segments)
-        name = self.folder(s, "segment", batch)
+        name = self.folder(s, "segment", batch, rows_a_file)
         made = None if temporary is None else self.temporary_batch(temporary, batch)
 
         def change(state: dict) -> None:

@@ -9,7 +9,8 @@ from chronolith.models.types import REGISTRY, Uncompressed, register_model
 from chronolith.operators import temporal
 from chronolith.operators.compress import align
 from chronolith.operators.generator import Settings
-from chronolith.plans.grouping import parse_clause, parse_dimensions
+from chronolith.plans import build as build_config
+from chronolith.plans.grouping import group, parse_clause, parse_dimensions
 from chronolith.sources import series as sources
 from chronolith.sources.storage import Store
 from chronolith.streaming import ingest as stream
@@ -118,7 +119,7 @@ def test_sources(spark, tmp_path):
     for fmt in ("orc", "parquet"):
         points(spark).select("timestamp", F.col("value").cast("double")).coalesce(1).write.format(fmt).save(str(tmp_path / f"d.{fmt}"))
         assert sources.read(spark, str(tmp_path / f"d.{fmt}/part*"), timestamp_column="timestamp", value_column="value").count() == 390
-    assert sources.expand("127.0.0.1:99") == ["127.0.0.1:99"] and sources.is_socket("localhost:9999")
+    assert sources.expand("127.0.0.1:99", spark) == ["127.0.0.1:99"] and sources.is_socket("localhost:9999")
 
 
 def test_stream_equals_batch_and_shows_temporaries(spark, tmp_path):
@@ -253,3 +254,41 @@ def test_interval_join_against_pairs(spark):
     p = spark.createDataFrame([(1, 10), (1, 31), (1, 30), (2, 5), (None, 3), (1, None)], "k int, t long").select("k", F.timestamp_millis("t").alias("t"))
     for bucket in (3, 1000):
         assert sorted((r["k"], r["t"].microsecond // 1000) for r in temporal.interval_join(i, p, "k", "s", "e", "t", bucket).collect()) == [(1, 10), (1, 10), (1, 30)]
+
+
+CONFIG = """
+storage parquet:{0}/store
+source {0}/in
+source.derived a.csv doubled value * 2
+dimensions {0}/dims.txt
+correlation {0}/groups.txt
+sampling_interval 60000
+csv.separator ;
+csv.date_format java
+error_bound 0
+batch_size 3
+"""
+
+
+def test_engine_from_configuration(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    for name in ("a.csv", "b.csv"):
+        (tmp_path / "in" / name).write_text("t;v\n" + "".join(f"{k * 60_000};{k % 7}\n" for k in range(50)))
+    (tmp_path / "dims.txt").write_text("Location, country text, region text\n\na.csv, DK, North\nb.csv, DK, South\ndoubled, DK, Far\n")
+    (tmp_path / "groups.txt").write_text("Location 1\n")
+    text = CONFIG.format(tmp_path)
+    e = build_config.from_config(spark, text)
+    assert build_config.ingest_config(e, text) == []
+    assert e.store.series().select("gid").distinct().count() == 1
+    assert {(r["tid"], r["region"], r["s"]) for r in e.sql("SELECT tid, region, sum(value) AS s FROM DataPoint GROUP BY tid, region").collect()} == {(1, "North", 147.0), (2, "South", 147.0), (3, "Far", 294.0)}
+    again = build_config.from_config(spark, text)  # nothing new
+    assert again.store.series().count() == 2 and again.settings.error_bound == 0
+    assert spark.sql("SELECT 1").count() == 1
+
+
+def test_many_series_are_grouped_by_their_levels(spark):
+    rows = "".join(f"s{k}, c{k % 50}, r{k % 500}\n" for k in range(20_000))
+    dims = parse_dimensions("Location, country text, region text\n\n" + rows)
+    names = [f"s{k}" for k in range(20_000)]
+    groups, _ = group(names, dict.fromkeys(names, 100), dims, [parse_clause("Location 1", dims)])
+    assert len(groups) == 50 and all(len({n for n in (int(s[1:]) % 50 for s in g)}) == 1 for g in groups)

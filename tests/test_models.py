@@ -6,6 +6,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from chronolith.models.types import Gorilla, PMCMean, Swing, Uncompressed, assign_mtids, error, register_model, ModelType, REGISTRY
+from chronolith.operators import vectorised
 from chronolith.operators.generator import DECODERS, Generator, Settings, compress, stored, use
 
 
@@ -108,3 +109,18 @@ def test_split_and_join():
     out = compress(ticks, (1, 2), 100, Settings(0, 10, 0, 0.9))
     widths = [len(s.members) for s in sorted(out, key=lambda s: s.start)]
     assert 1 in widths and widths[0] == 2 and widths[-1] == 2
+
+
+@pytest.mark.parametrize("models", [("pmc_mean", "swing_filter", "gorilla"), ("swing_filter", "pmc_mean"), ("gorilla",), (), ("pmc_mean",)])
+def test_whole_stretches_give_the_segments_of_single_ticks(models):
+    rng = np.random.default_rng(len(models))
+    for trial in range(40):
+        w, n = int(rng.integers(1, 4)), int(rng.integers(1, 300))
+        ts = np.cumsum(np.where(rng.random(n) < 0.03, 300, 100))
+        base = [np.cumsum(rng.normal(0, 1, n)), 50 + np.floor(np.arange(n) / 20), np.arange(n) * 1.5, rng.integers(0, 3, n) * 1.0, 100 + rng.normal(0, 0.5, n)][trial % 5]
+        v = np.stack([base + rng.normal(0, 0.01, n) * rng.integers(0, 2) for _ in range(w)], 1).astype(np.float32).astype(float)
+        v[rng.random(v.shape) < 0.01] = np.nan
+        conf, tids = Settings(float([0, 1, 5, 10][trial % 4]), [10, 50][trial % 2], 0, 0.0, models), tuple(range(1, w + 1))
+        ticks = [(int(t), tuple(None if np.isnan(x) else float(x) for x in r)) for t, r in zip(ts, v)]
+        want = [(s.start, s.end, tuple(s.gaps), tuple(s.members), s.mtid, s.model) for s in compress(ticks, tids, 100, conf)]
+        assert [(a, b, g, m, x.mtid, x.model) for a, b, g, m, x in vectorised.compress(ts, v, tids, 100, conf)] == want
