@@ -75,12 +75,16 @@ class Store:
 
     def folder(self, df: DataFrame, table: str, batch: str | None = None, rows_a_file: int | None = None) -> str:
         """Writes rows as a folder that nothing names yet. A batch that has a name and comes again writes the same folder."""
-        name = f"batch={batch or uuid.uuid4().hex}"
+        name = self.batch_name(batch)
         w = df.write.format(self.format).mode("overwrite")
         w = w.option("maxRecordsPerFile", rows_a_file) if rows_a_file else w
         (w.partitionBy("gid_bucket") if table in ("segment", "temporary") else w).save(self.files.uri(f"{table}/{name}"))
         return name
 
+    @staticmethod
+    def batch_name(batch: str | None) -> str:
+        return f"batch={batch or uuid.uuid4().hex}"
+
     def put(self, state: dict, table: str, names: list[str], schema: T.StructType) -> None:
         state["tables"][table] = names
         state["schemas"][table] = schema.jsonValue()

@@ -15,6 +15,7 @@ from chronolith.engine import Engine
 from chronolith.models.types import user_types
 from chronolith.operators.compress import RAW
 from chronolith.operators.generator import Generator, Settings, stored, use
+from chronolith.operators.readings import with_source
 from chronolith.session import millis
 
 COLUMNS = [c.split()[0] for c in RAW.split(", ")]
@@ -55,17 +56,18 @@ class GroupFitter:
         return final, [] if end else self.g.snapshot()
 
 
-def fit_stream(points: DataFrame, groups: dict[int, tuple[tuple[int, ...], int]], settings: Settings, delay_ms: int) -> DataFrame:
-    """Stored segments, final or temporary, of a stream of (tid, gid, ts_ms, value). ``groups`` gives each gid's members and
-    interval."""
+def fit_stream(points: DataFrame, settings: Settings, delay_ms: int) -> DataFrame:
+    """Stored segments, final or temporary, of a stream of (tid, gid, si, tids, ts_ms, value); ``tids`` are the members of the
+    row's group."""
 
     classes = user_types(settings.models)
 
     def step(key: tuple, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         swing = use(settings.models, classes)
         gid = int(key[0])
-        tids, si = groups[gid]
-        fitter = pickle.loads(state.get[0]) if state.exists else GroupFitter(tids, si, settings, delay_ms)
+        pdfs = list(pdfs)
+        si = int(pdfs[0]["si"].iloc[0])
+        fitter = pickle.loads(state.get[0]) if state.exists else GroupFitter(tuple(int(t) for t in pdfs[0]["tids"].iloc[0]), si, settings, delay_ms)
         points = [(-1 if pd.isna(t) else int(t), 0 if pd.isna(ts) else int(ts), float(v) if v is not None else float("nan")) for p in pdfs for t, ts, v in zip(p["tid"], p["ts_ms"], p["value"])]
         final, temporary = fitter.add(points)
         state.update((pickle.dumps(fitter),))
@@ -83,10 +85,10 @@ def ingest_stream(engine: Engine, points: DataFrame, checkpoint: str, mode: str
     Each micro-batch is one folder named by its number, so a batch that is run again after a failure replaces itself.
     """
     meta = engine.store.series().select("source", "tid", "gid", F.col("sampling_interval").alias("si"), "scaling_factor")
-    groups = {r["gid"]: (tuple(sorted(r["tids"])), r["si"]) for r in meta.groupBy("gid").agg(F.collect_list("tid").alias("tids"), F.max("si").alias("si")).collect()}
-    p = points.join(F.broadcast(meta), "source")
-    p = p.select(F.when(F.col("timestamp").isNull(), F.lit(-1)).otherwise(F.col("tid")).alias("tid"), "gid", millis("timestamp").alias("ts_ms"), (F.col("value").cast("float") * F.col("scaling_factor")).cast("float").alias("value"))
-    fitted = fit_stream(p, groups, engine.settings, delay_ms)
+    members = meta.groupBy("gid").agg(F.array_sort(F.collect_list("tid")).alias("tids"))  # a row a group
+    p = with_source(points, meta.join(members, "gid"), "source")
+    p = p.select(F.when(F.col("timestamp").isNull(), F.lit(-1)).otherwise(F.col("tid")).alias("tid"), "gid", "si", "tids", millis("timestamp").alias("ts_ms"), (F.col("value").cast("float") * F.col("scaling_factor")).cast("float").alias("value"))
+    fitted = fit_stream(p, engine.settings, delay_ms)
     stream = checkpoint.rstrip("/").rsplit("/", 1)[-1]
 
     def publish(batch: DataFrame, number: int) -> None:

@@ -12,6 +12,7 @@ from chronolith.operators.generator import Settings
 from chronolith.plans import build as build_config
 from chronolith.plans.grouping import group, parse_clause, parse_dimensions
 from chronolith.sources import series as sources
+from chronolith.sources.jdbc import JdbcStore
 from chronolith.sources.storage import Store
 from chronolith.streaming import ingest as stream
 from chronolith.streaming import transfer
@@ -292,3 +293,18 @@ def test_many_series_are_grouped_by_their_levels(spark):
     names = [f"s{k}" for k in range(20_000)]
     groups, _ = group(names, dict.fromkeys(names, 100), dims, [parse_clause("Location 1", dims)])
     assert len(groups) == 50 and all(len({n for n in (int(s[1:]) % 50 for s in g)}) == 1 for g in groups)
+
+
+def test_store_in_a_database(spark, tmp_path):
+    db = lambda: JdbcStore(spark, str(tmp_path / "log"), f"jdbc:derby:{tmp_path}/db;create=true", driver="org.apache.derby.iapi.jdbc.AutoloadedDriver")
+    files, inside = build(spark, tmp_path / "files"), Engine(spark, db(), Settings())
+    inside.register({"a": 60_000, "b": 60_000}, DIMS)
+    for e in (files, inside):
+        e.ingest(points(spark))
+    for q in ("SELECT tid, timestamp, value FROM DataPoint", "SELECT tid, SUM_S(#) AS s, COUNT_S(#) AS n FROM Segment GROUP BY tid", "SELECT count(*) AS n FROM DataPoint WHERE tid = 1 AND timestamp >= TIMESTAMP '1970-01-01 00:30:00'"):
+        assert sorted(map(tuple, inside.sql(q).collect())) == sorted(map(tuple, files.sql(q).collect()))
+    n = inside.store.segments().count()
+    inside.store.append_segments(inside.store.segments().drop("gid_bucket").where("false"), "again")
+    inside.store.optimize()
+    inside.store.vacuum()
+    assert db().segments().count() == n and len(db().version("segment")) == 1
