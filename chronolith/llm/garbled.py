@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+import uuid
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 
@@ -475,6 +476,9 @@ def single_byte(name: str) -> dict[str, int]:
 MAYBE = regex.compile("|".join("[{}][{}]".format(*(regex.escape("".join(c for c, b in single_byte(w).items() if x <= b < y), special_only=False) for x, y in ((0xC2, 0xF5), (0x80, 0xC0)))) for w in FORM))
 
 
+_model: dict[str, Model] = {}
+
+
 def garbled(docs: DataFrame) -> DataFrame:
     """(doc_id, restored, mapping): the documents in whose text at least one character came out wrong because bytes were
     decoded with an encoding other than theirs. ``restored`` has the passages put right that an inverse mapping explains;
@@ -484,11 +488,14 @@ def garbled(docs: DataFrame) -> DataFrame:
     stands, one scores each text. Null, empty and plain ASCII texts give no row; repeated rows give a row each.
     """
     shares, _ = document_frequencies(docs)
-    shared = docs.sparkSession.sparkContext.broadcast(shares)
+    shared, corpus = docs.sparkSession.sparkContext.broadcast(shares), uuid.uuid4().hex
     kind = dict(docs.dtypes)["doc_id"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = Model(shared.value)
+        if corpus not in _model:  # kept for the worker's next task, with the words it has seen
+            _model.clear()
+            _model[corpus] = Model(shared.value)
+        model = _model[corpus]
         for b in batches:
             rows: list[tuple] = []
             for at in range(0, b.num_rows, 256):
