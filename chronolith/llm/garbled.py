@@ -479,6 +479,14 @@ MAYBE = regex.compile("|".join("[{}][{}]".format(*(regex.escape("".join(c for c,
 _model: dict[str, Model] = {}
 
 
+def model_of(corpus: str, shared) -> Model:
+    """Kept for the worker's next task, with the words it has seen."""
+    if corpus not in _model:
+        _model.clear()
+        _model[corpus] = Model(shared.value)
+    return _model[corpus]
+
+
 def garbled(docs: DataFrame) -> DataFrame:
     """(doc_id, restored, mapping): the documents in whose text at least one character came out wrong because bytes were
     decoded with an encoding other than theirs. ``restored`` has the passages put right that an inverse mapping explains;
@@ -492,10 +500,7 @@ def garbled(docs: DataFrame) -> DataFrame:
     kind = dict(docs.dtypes)["doc_id"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if corpus not in _model:  # kept for the worker's next task, with the words it has seen
-            _model.clear()
-            _model[corpus] = Model(shared.value)
-        model = _model[corpus]
+        model = model_of(corpus, shared)
         for b in batches:
             rows: list[tuple] = []
             for at in range(0, b.num_rows, 256):
