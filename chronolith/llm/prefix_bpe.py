@@ -9,11 +9,13 @@ appended without touching what is there, and an edit needs re-encoding only from
 from __future__ import annotations
 
 import base64
+import os
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import regex
+from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 
 #: The pieces that text is cut into before encoding (contractions, letters, digits, other signs, white space).
@@ -38,6 +40,7 @@ class Vocabulary:
         self.ranks = ranks
         self.token = {i: t for t, i in ranks.items()}
         self.starts = {t[:k] for t in ranks for k in range(1, len(t))}
+        self.longest = max(map(len, ranks), default=0)
         self.pairs: dict[tuple[int, int], bool] = {}
         self.own: dict[int, bool] = {}
 
@@ -79,8 +82,7 @@ class PrefixEncoding:
         data, last, n = self.data, self.last, len(self.data)
         last += [-1] * (n - old)
         ranks, starts, v = self.v.ranks, self.v.starts, self.v
-        longest = max(map(len, starts), default=0) + 1 if old else 0
-        for s in range(max(0, old - longest), n):
+        for s in range(max(0, old - self.v.longest), n):
             if s and last[s] < 0:
                 continue
             before = last[s]
@@ -171,11 +173,13 @@ def encoder(path: str) -> Encoder:
 def encode_corpus(docs: DataFrame, vocabulary: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, ids array<int>): every text as token ids, without special tokens; white space and the strings of special
     tokens are encoded like any text. Null and empty texts give an empty list. Rows are neither merged nor dropped, a
-    null id stays null. ``vocabulary`` is a file of ranks at the same path on every executor. No shuffle: each batch is
-    encoded where it is read."""
+    null id stays null. ``vocabulary`` is a file of ranks that the driver sees; it is sent to the executors once. No shuffle:
+    each batch is encoded where it is read."""
+    docs.sparkSession.sparkContext.addFile(vocabulary)
+    name = os.path.basename(vocabulary)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        e = encoder(vocabulary)
+        e = encoder(SparkFiles.get(name))
         for b in batches:
             for at in range(0, b.num_rows, 512):
                 part = b.slice(at, 512)
