@@ -131,14 +131,22 @@ class Engine:
         r = self.spark.read.format(fmt).options(**options)
         (r.load(path) if path else r.load()).createOrReplaceTempView(name)
 
-    def to_json(self, query: str) -> str:
-        """{"time", "query", "result": [...]}; a failing query's message is the result."""
-        began = time.time()
+    def json_parts(self, query: str) -> Iterator[str]:
+        """The text of ``to_json`` piece by piece: the driver holds one partition of the result at a time."""
+        began, first = time.time(), True
+        yield f'{{"query": {json.dumps(query)}, "result": '
         try:
-            result = [json.loads(r[0]) for r in self.sql(query).select(F.to_json(F.struct("*"))).toLocalIterator()]
+            for r in self.sql(query).select(F.to_json(F.struct("*"))).toLocalIterator(prefetchPartitions=True):
+                yield ("[" if first else ", ") + r[0]
+                first = False
+            yield "[]" if first else "]"
         except Exception as e:  # noqa: BLE001 - the message is what the client gets
-            result = str(e)
-        return json.dumps({"time": f"PT{time.time() - began:.3f}S", "query": query, "result": result})
+            yield ("" if first else '], "error": ') + json.dumps(str(e))
+        yield f', "time": "PT{time.time() - began:.3f}S"}}'
+
+    def to_json(self, query: str) -> str:
+        """{"time", "query", "result": [...]}; a failing query's message is the result."""
+        return "".join(self.json_parts(query))
 
     def to_arrow(self, query: str, batch_rows: int = 1_048_576) -> Iterator[pa.RecordBatch]:
         """The result batch by batch: the driver holds one partition at a time."""

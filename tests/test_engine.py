@@ -1,5 +1,8 @@
 import gzip
 import json
+import socket
+import urllib.parse
+import urllib.request
 
 import pytest
 from pyspark.sql import functions as F
@@ -11,6 +14,7 @@ from chronolith.operators.compress import align
 from chronolith.operators.generator import Settings
 from chronolith.plans import build as build_config
 from chronolith.plans.grouping import group, parse_clause, parse_dimensions
+from chronolith.sources import serve
 from chronolith.sources import series as sources
 from chronolith.sources.jdbc import JdbcStore
 from chronolith.sources.storage import Store
@@ -308,3 +312,20 @@ def test_store_in_a_database(spark, tmp_path):
     inside.store.optimize()
     inside.store.vacuum()
     assert db().segments().count() == n and len(db().version("segment")) == 1
+
+
+def test_queries_over_http_and_tcp(engine):
+    web, line = serve.http(engine), serve.tcp(engine)
+    try:
+        q = "SELECT count(*) AS n FROM DataPoint WHERE tid = 1"
+        url = f"http://127.0.0.1:{web.server_address[1]}/"
+        with urllib.request.urlopen(url, data=q.encode()) as r:
+            assert json.loads(r.read())["result"] == [{"n": 190}]
+        with urllib.request.urlopen(url + "?" + urllib.parse.urlencode({"query": q})) as r:
+            assert json.loads(r.read())["result"] == [{"n": 190}]
+        with socket.create_connection(line.server_address) as c:
+            c.sendall(f"{q}\nSELECT nonsense\n\n".encode())
+            a, b = (json.loads(x) for x in c.makefile().read().splitlines())
+        assert a["result"] == [{"n": 190}] and "nonsense" in b["result"]
+    finally:
+        web.shutdown(), line.shutdown()
