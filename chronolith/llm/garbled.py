@@ -79,10 +79,8 @@ def document_frequencies(docs: DataFrame) -> tuple[dict[int, float], int]:
         n = 0
 
         def distinct(owner: np.ndarray, key: np.ndarray, mark: int) -> None:
-            o = np.lexsort((key, owner))
-            owner, key = owner[o], key[o]
-            new = np.r_[True, (key[1:] != key[:-1]) | (owner[1:] != owner[:-1])] if len(key) else np.zeros(0, bool)
-            for x, y in zip(*(a.tolist() for a in np.unique(key[new], return_counts=True))):
+            once = np.unique(owner.astype(np.int64) << 48 | key)  # owners are fewer than 2^8, keys below 2^46
+            for x, y in zip(*(a.tolist() for a in np.unique(once & ((1 << 48) - 1), return_counts=True))):
                 held[mark | x] += y
 
         for b in batches:
@@ -96,11 +94,10 @@ def document_frequencies(docs: DataFrame) -> tuple[dict[int, float], int]:
                 owner, pair, _ = pair_codes(texts)
                 distinct(owner, pair, 0)
                 # characters: ASCII ones of all texts, others stand first or second in one of the pairs
-                plain = np.zeros((len(texts), 128), bool)
-                for k, t in enumerate(texts):
-                    code = np.frombuffer(t.encode("utf-8", "replace"), np.uint8)
-                    plain[k, np.unique(code[code < 128])] = True
-                plain[:, 32] |= plain[:, :32].any(1)
+                code = np.frombuffer("\x00".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32)
+                of = np.repeat(np.arange(len(texts)), np.array([len(t) + 1 for t in texts]))[: len(code)]
+                plain = np.bincount((of << 7 | code)[code < 128], minlength=len(texts) << 7).reshape(-1, 128) > 0
+                plain[:, 32] |= plain[:, 1:32].any(1)
                 for c, y in enumerate(plain.sum(0).tolist()):
                     if y and c >= 32:
                         held[CHAR | c] += y
@@ -306,7 +303,7 @@ class Model:
     def by_form(self, t: str, runs: list[tuple[int, int]]) -> tuple[str, str, int]:
         """(text, mapping, passages) with UTF-8 put right inside runs that its form alone proves: see FORM. Scores don't count
         here, as all texts of a language may be garbled alike."""
-        if len(MAYBE.findall(t)) < FORM_LEAST:
+        if sum(len(MAYBE.findall(t, a, b)) for a, b in runs) < FORM_LEAST:
             return t, "", 0
         inside = np.zeros(len(t) + 1, bool)
         for a, b in runs:
