@@ -36,6 +36,7 @@ class Engine:
     settings: Settings = field(default_factory=Settings)
     derived: list[tuple[str | int, str, dict]] = field(default_factory=list)
     batch_size: int = 50_000
+    _kept: tuple = field(default=(None, None, None), init=False, repr=False, compare=False)
 
     def register(self, intervals: dict[str, int], dims: Dimensions | None = None, clauses: list[Clause] = ()) -> DataFrame:
         """Assigns tids and gids to sources with these sampling intervals (ms) and stores the metadata. Returns it."""
@@ -68,6 +69,13 @@ class Engine:
             derived = [Derived(top + 1 + k, p, e, d) for k, (p, _, e, d) in enumerate(parents)]
         return Views(self.store.segments(), series, self.settings.models, derived)
 
+    def current(self) -> tuple[Views, dict[str, DataFrame]]:
+        """Views of the store's latest state, and those of them that have been planned for all rows; kept until it changes."""
+        number = (self.store.state()[0], str(self.derived))
+        if self._kept[0] != number:
+            self._kept = (number, self.views(), {})
+        return self._kept[1:]
+
     def view(self, v: Views, name: str, need: Need | None = None) -> DataFrame:
         if name == "SEGMENT":
             return v.segment(need)
@@ -103,8 +111,9 @@ class Engine:
             return f"{tag}_{n}"
 
         q = rewrite.renamed(q, name)
-        v = self.views()
-        whole = {t: self.view(v, t) for t in set(places)}
+        v, whole = self.current()
+        for t in set(places) - set(whole):
+            whole[t] = self.view(v, t)
         try:
             ids = {}
             for n, t in enumerate(places):
@@ -115,7 +124,7 @@ class Engine:
             needs = narrow.needs(plan, ids, {"tid", *v.dims})
             for n, t in enumerate(places):
                 need = needs.get(f"{tag}_{n}")
-                (whole[t] if need is None else self.view(v, t, need)).createOrReplaceTempView(f"{tag}_{n}")
+                (whole[t] if need is None or need.nothing(t == "DATAPOINT") else self.view(v, t, need)).createOrReplaceTempView(f"{tag}_{n}")
             return self.spark.sql(q)
         finally:
             for n in range(len(places)):

@@ -78,6 +78,13 @@ def release(spark: SparkSession | None = None) -> int:
     return len(paths)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """A table in fewer partitions than there are cores, as one small file makes it, over all of them, for work that is heavier
+    than moving its rows. Larger ones stay where they are read."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def millis(col) -> "F.Column":
     """Milliseconds since 1970-01-01 UTC of a timestamp with or without zone."""
     return F.unix_millis(F.col(col).cast("timestamp") if isinstance(col, str) else col.cast("timestamp"))
