@@ -15,6 +15,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from chronolith.session import spread, written
+
 #: Only pairs in more than FLOOR of the documents are sent to the workers: at most the mean number of a document's distinct
 #: pairs, divided by FLOOR, whatever the corpus. Others count as standing in half of it.
 FLOOR = 0.0005
@@ -110,8 +112,6 @@ def document_frequencies(docs: DataFrame) -> tuple[dict[int, float], int]:
 
     # one row for each pair and task, then one for each pair
     got = docs.select("text").where("text is not null").mapInArrow(count, "pair long, df long").groupBy("pair").agg(F.sum("df").alias("df"))
-    from chronolith.session import written
-
     got = written(got, "pairs")
     n = (got.where("pair = -1").agg(F.sum("df")).first()[0]) or 0
     # characters are symbols, of which there are a few thousand
@@ -142,7 +142,7 @@ class Model:
         self.maps = {(w, r): turned(t, r) for w, t in self.bytes_of.items() for r in WRITTEN if r != w}
         self.known: dict[int, int] = {}
         self.as_bytes = {w: ByteText({ord(c): b for c, b in self.bytes_of[w].items()}) for w in FORM}
-        formed = {ord(a) << 24 | ord(b) for t in self.bytes_of.values() for a, x in t.items() if 0xC2 <= x < 0xF5 for b, y in t.items() if 0x80 <= y < 0xC0 and written(x, y) and not ordinary(a, b)}
+        formed = {ord(a) << 24 | ord(b) for t in self.bytes_of.values() for a, x in t.items() if 0xC2 <= x < 0xF5 for b, y in t.items() if 0x80 <= y < 0xC0 and writable(x, y) and not ordinary(a, b)}
         self.score = {p: math.log(x) for p, x in shares.items() if p not in formed and not lost(p)}
         known = sorted(self.score)
         self.pair_at = np.array(known, np.int64)
@@ -406,7 +406,7 @@ def lost(pair: int) -> bool:
     return any(x == 0xFFFD or 0x80 <= x < 0xA0 and x != 0x85 for x in (pair >> 24, pair & 0xFFFFFF))
 
 
-def written(x: int, y: int) -> bool:
+def writable(x: int, y: int) -> bool:
     """Whether UTF-8 of these first two bytes can be a character of WRITING."""
     return x >= 0xE0 or bool(WRITING.match(bytes([x, y]).decode("utf-8")))
 
@@ -492,6 +492,7 @@ def garbled(docs: DataFrame) -> DataFrame:
     Two passes over the whole texts: one counts in how many documents each character and each pair of adjacent characters
     stands, one scores each text. Null, empty and plain ASCII texts give no row; repeated rows give a row each.
     """
+    docs = spread(docs.select("doc_id", "text"))
     shares, _ = document_frequencies(docs)
     shared, corpus = docs.sparkSession.sparkContext.broadcast(shares), uuid.uuid4().hex
     kind = dict(docs.dtypes)["doc_id"]
@@ -511,5 +512,5 @@ def garbled(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(cols[0], b.schema.field(0).type), pa.array(cols[1], pa.string()), pa.array(cols[2], pa.string())], names=["doc_id", "restored", "mapping"])
 
     # texts of ASCII alone have as many bytes as characters, and no pair that is scored
-    some = docs.select("doc_id", "text").where(F.octet_length("text") > F.length("text"))
+    some = docs.where(F.octet_length("text") > F.length("text"))
     return some.mapInArrow(run, f"doc_id {kind}, restored string, mapping string")

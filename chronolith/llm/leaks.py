@@ -15,7 +15,7 @@ from pyarrow import dataset
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chronolith.session import shared_dir
+from chronolith.session import shared_dir, spread
 from chronolith.sources.files import arrow_filesystem
 
 #: Characters in a q-gram, of the text without anything but letters and digits.
@@ -241,7 +241,7 @@ def leaks(docs: DataFrame, evals: DataFrame, words: int = WORDS) -> DataFrame:
     # items go to the workers as files, not over the driver
     path = f"{shared_dir(spark)}/items-{uuid.uuid4().hex}"
     got.withColumn("block", F.pmod(F.xxhash64("item_id"), F.lit(max(1, blocks))).cast("int")).repartition("block").write.partitionBy("block").parquet(path)
-    texts = docs.select("doc_id", "text").where("text is not null")
+    texts = spread(docs.select("doc_id", "text").where("text is not null"))
     out = spark.createDataFrame([], schema)
     for block in range(blocks):
 

@@ -18,6 +18,8 @@ import regex
 from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 
+from chronolith.session import spread
+
 #: The pieces that text is cut into before encoding (contractions, letters, digits, other signs, white space).
 PIECES = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Chunks remembered by a worker; beyond this the oldest half is dropped. It bounds memory, not the result.
@@ -173,8 +175,8 @@ def encoder(path: str) -> Encoder:
 def encode_corpus(docs: DataFrame, vocabulary: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, ids array<int>): every text as token ids, without special tokens; white space and the strings of special
     tokens are encoded like any text. Null and empty texts give an empty list. Rows are neither merged nor dropped, a
-    null id stays null. ``vocabulary`` is a file of ranks that the driver sees; it is sent to the executors once. No shuffle:
-    each batch is encoded where it is read."""
+    null id stays null. ``vocabulary`` is a file of ranks that the driver sees; it is sent to the executors once. Nothing is shuffled
+    but a table in fewer partitions than cores: each batch is encoded where it is read."""
     docs.sparkSession.sparkContext.addFile(vocabulary)
     name = os.path.basename(vocabulary)
 
@@ -189,4 +191,4 @@ def encode_corpus(docs: DataFrame, vocabulary: str, doc_id: str = "doc_id", text
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(pa.array(ends), flat)], names=[doc_id, "ids"])
 
     kind = dict(docs.select(doc_id).dtypes)[doc_id]
-    return docs.select(doc_id, text).mapInArrow(run, f"`{doc_id}` {kind}, ids array<int>")
+    return spread(docs.select(doc_id, text)).mapInArrow(run, f"`{doc_id}` {kind}, ids array<int>")
