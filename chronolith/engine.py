@@ -36,6 +36,9 @@ class Engine:
     settings: Settings = field(default_factory=Settings)
     derived: list[tuple[str | int, str, dict]] = field(default_factory=list)
     batch_size: int = 50_000
+    #: Keeps the segments that the last set of predicates leaves, as long as they fill no more partitions than there are cores.
+    cache_scans: bool = False
+    _scan: tuple = field(default=("", None), init=False, repr=False, compare=False)
     _kept: tuple = field(default=(None, None, None), init=False, repr=False, compare=False)
 
     def register(self, intervals: dict[str, int], dims: Dimensions | None = None, clauses: list[Clause] = ()) -> DataFrame:
@@ -67,7 +70,17 @@ class Engine:
             top = series.agg(F.max("tid")).first()[0] or 0
             parents = sorted(((known[p], n, e, d) for n, (p, e, d) in enumerate(self.derived) if p in known))
             derived = [Derived(top + 1 + k, p, e, d) for k, (p, _, e, d) in enumerate(parents)]
-        return Views(self.store.segments(), series, self.settings.models, derived)
+        return Views(self.store.segments(), series, self.settings.models, derived, self.keep_scan if self.cache_scans else None)
+
+    def keep_scan(self, predicates: str, segments: DataFrame) -> DataFrame:
+        key = f"{self.store.state()[0]} {predicates}"
+        if self._scan[0] != key:
+            if segments.rdd.getNumPartitions() > self.spark.sparkContext.defaultParallelism:
+                return segments
+            if self._scan[1] is not None:
+                self._scan[1].unpersist()
+            self._scan = (key, segments.persist())
+        return self._scan[1]
 
     def current(self) -> tuple[Views, dict[str, DataFrame]]:
         """Views of the store's latest state, and those of them that have been planned for all rows; kept until it changes."""

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.errors import AnalysisException, ParseException
@@ -36,8 +37,9 @@ class Views:
     """Plans over stored segments and series metadata. ``series`` is small and joined by broadcast as long as the planner
     finds it so; the join is on (gid, gid_bucket), so a predicate on tid or a dimension prunes the segments' partitions."""
 
-    def __init__(self, segments: DataFrame, series: DataFrame, models: tuple[str, ...], derived: list[Derived] = ()):
+    def __init__(self, segments: DataFrame, series: DataFrame, models: tuple[str, ...], derived: list[Derived] = (), keep: Callable[[str, DataFrame], DataFrame] | None = None):
         self.segments, self.series, self.models, self.derived = segments, series, models, list(derived)
+        self.keep = keep
         ids = assign_mtids(models)
         self.native = [ids[n] for n in (PMCMean.name, Swing.name) if n in ids]
         self.swing = ids.get(Swing.name, 0)
@@ -53,6 +55,8 @@ class Views:
             s = s.where(F.col("start_time") <= F.timestamp_micros(F.lit(need.high)))
         if (gids := self.gids(need)) is not None:
             s = s.where(F.col("gid").isin(*gids) & F.col("gid_bucket").isin(*{g % BUCKETS for g in gids}) if gids else F.lit(False))
+        if self.keep is not None:
+            s = self.keep(f"{need.low} {need.high} {gids}", s)
         m = self.series.drop("source")
         # the position among the members comes from the segment, so the join with the metadata is one-to-many on gid alone
         j = s.join(m.withColumnRenamed("gid", "g").withColumnRenamed("gid_bucket", "gb"), (s["gid"] == F.col("g")) & (s["gid_bucket"] == F.col("gb")) & F.array_contains("members", F.col("tid")))
@@ -65,7 +69,8 @@ class Views:
             j = j.unionByName(own.withColumns({"tid": F.lit(d.tid), "scale": F.lit(1.0).cast("float"), "rule": F.lit(d.expression), **{c: F.lit(v).cast(dict(self.series.dtypes)[c]) for c, v in d.dims.items()}}))
         off = F.concat(int_bytes(F.col("k") + 1), int_bytes(F.col("n")), int_bytes(F.col("t_off")))
         length = F.expr("cast((unix_millis(end_time) - unix_millis(start_time)) div si + 1 as int)")
-        return j.withColumns({"offsets": off, "len": length})
+        # values that the stored model stands for, those before a cut start included
+        return j.withColumns({"offsets": off, "len": length}).withColumn("capacity", F.col("n") * (F.col("len") + F.col("t_off")))
 
     def transformed(self, value: Column) -> Column:
         """float32 value of the series from the stored one: divided by its factor, or the derived series' expression."""

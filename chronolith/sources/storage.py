@@ -119,6 +119,8 @@ class Store:
         def change(state: dict) -> None:
             self.put(state, "segment", [*[x for x in state["tables"].get("segment", []) if x != name], name], s.schema)
             state["batches"] = state.get("batches", 0) + 1
+            if batch is not None:  # a stream repeats its last batch at most
+                state["taken"] = [*state.get("taken", [])[-99:], batch]
             if made:
                 self.put(state, "temporary", made[0], made[1])
 

@@ -1,4 +1,4 @@
-"""Segments and metadata in a relational database, read and written over JDBC."""
+"""Segments and metadata in tables of a database or of a Spark catalog."""
 
 from __future__ import annotations
 
@@ -9,21 +9,22 @@ from pyspark.sql import types as T
 from chronolith.sources.storage import Store
 
 
-class JdbcStore(Store):
-    """A store whose rows stand in tables of a database, each with the batch that brought it. Which batches count is in the same
-    log as for files, under ``path``, so that a batch becomes visible as a whole however many connections write it.
+class TableStore(Store):
+    """A store whose rows stand in tables, each with the batch that brought it. Which batches count is in the same log as for
+    files, under ``path``, so that a batch becomes visible as a whole however many tasks write it.
 
-    Times are milliseconds, lists are JSON, as databases differ in both. Predicates on gid and time go to the database: bounds on
-    times become bounds on the stored numbers. ``options`` are those of Spark's JDBC source (user, driver, fetchsize, ...).
+    Times are milliseconds, lists are JSON, as databases differ in both. Predicates on gid and time go to the source: bounds on
+    times become bounds on the stored numbers.
     """
 
-    def __init__(self, spark: SparkSession, path: str, url: str, **options: str):
-        super().__init__(spark, path)
-        self.url, self.options = url, options
-        self.quoted = spark._jvm.org.apache.spark.sql.jdbc.JdbcDialects.get(url).quoteIdentifier
-        self.batch = self.quoted("batch")
+    def insert(self, df: DataFrame, table: str) -> None:
+        raise NotImplementedError
 
-    def flat(self, df: DataFrame) -> DataFrame:
+    def rows(self, table: str) -> DataFrame:
+        raise NotImplementedError
+
+    def folder(self, df: DataFrame, table: str, batch: str | None = None, rows_a_file: int | None = None) -> str:
+        name = self.batch_name(batch)
         out = []
         for f in df.schema.fields:
             c = F.col(f.name)
@@ -32,8 +33,75 @@ class JdbcStore(Store):
             elif isinstance(f.dataType, T.TimestampType):
                 c = F.unix_millis(c)
             out.append(c.alias(f.name))
+        self.insert(df.select(*out, F.lit(name).alias("batch")), table)
+        return name
+
+    def read(self, table: str, schema: str, state: dict | None = None) -> DataFrame:
+        state = state or self.state()[1]
+        known = T.StructType.fromJson(state["schemas"][table]) if table in state["schemas"] else T._parse_datatype_string(schema)
+        names = state["tables"].get(table, [])
+        if not names:
+            return self.spark.createDataFrame([], known)
+        df = self.rows(table)
+        df = df.toDF(*[c.lower() for c in df.columns]).where(F.col("batch").isin(*names))
+        out = []
+        for f in known.fields:
+            c = F.col(f.name)
+            if isinstance(f.dataType, T.ArrayType):
+                c = F.from_json(c, f.dataType)
+            elif isinstance(f.dataType, T.TimestampType):
+                c = F.timestamp_millis(c)
+            out.append(c.cast(f.dataType).alias(f.name))
         return df.select(*out)
 
+
+class CatalogStore(TableStore):
+    """Tables of a Spark catalog, in ``namespace``: of Hive, Iceberg, Cassandra or whatever the session has a catalog for.
+    ``provider`` is the format of tables that are made. A batch that comes again after a failure gets a name of its own, and
+    what an attempt before left counts for nothing."""
+
+    def __init__(self, spark: SparkSession, path: str, namespace: str, provider: str | None = None):
+        super().__init__(spark, path)
+        self.namespace, self.provider = namespace, provider
+        self.format = provider or self.format
+
+    def insert(self, df: DataFrame, table: str) -> None:
+        w = df.write.format(self.provider) if self.provider else df.write
+        w.mode("append").saveAsTable(f"{self.namespace}.{table}")
+
+    def rows(self, table: str) -> DataFrame:
+        return self.spark.table(f"{self.namespace}.{table}")
+
+    def folder(self, df: DataFrame, table: str, batch: str | None = None, rows_a_file: int | None = None) -> str:
+        return super().folder(df, table, None, rows_a_file)
+
+    def append_segments(self, segments: DataFrame, batch: str | None = None, temporary: DataFrame | None = None, rows_a_file: int | None = None) -> None:
+        """As for files, but a batch that the log has taken isn't taken again."""
+        if batch is not None and batch in self.state()[1].get("taken", []):
+            return
+        super().append_segments(segments, batch, temporary, rows_a_file)
+
+    def vacuum(self, older_than_ms: int = 0) -> list[str]:
+        """Left to the catalog: not every one can delete rows."""
+        return []
+
+
+class JdbcStore(TableStore):
+    """Tables of a database, over JDBC. ``options`` are those of Spark's JDBC source (user, driver, fetchsize, ...)."""
+
+    def __init__(self, spark: SparkSession, path: str, url: str, **options: str):
+        super().__init__(spark, path)
+        self.url, self.options = url, options
+        self.quoted = spark._jvm.org.apache.spark.sql.jdbc.JdbcDialects.get(url).quoteIdentifier
+        self.batch = self.quoted("batch")
+
+    def insert(self, df: DataFrame, table: str) -> None:
+        w = df.write.format("jdbc").options(url=self.url, dbtable=self.quoted(table), **self.options)
+        w.option("createTableColumnTypes", "batch VARCHAR(200)").mode("append").save()  # to be compared, where text is a large object
+
+    def rows(self, table: str) -> DataFrame:
+        return self.spark.read.format("jdbc").options(url=self.url, dbtable=self.quoted(table), **self.options).load()
+
     def execute(self, statement: str) -> None:
         """On a connection of Spark's own driver registry; a table that isn't there is passed over."""
         jvm = self.spark._jvm
@@ -53,29 +121,9 @@ class JdbcStore(Store):
             connection.close()
 
     def folder(self, df: DataFrame, table: str, batch: str | None = None, rows_a_file: int | None = None) -> str:
-        name = self.batch_name(batch)
-        self.execute(f"DELETE FROM {self.quoted(table)} WHERE {self.batch} = '{name}'")  # of an attempt before
-        w = self.flat(df).withColumn("batch", F.lit(name)).write.format("jdbc").options(url=self.url, dbtable=self.quoted(table), **self.options)
-        w.option("createTableColumnTypes", "batch VARCHAR(200)").mode("append").save()  # to be compared, where text is a large object
-        return name
-
-    def read(self, table: str, schema: str, state: dict | None = None) -> DataFrame:
-        state = state or self.state()[1]
-        known = T.StructType.fromJson(state["schemas"][table]) if table in state["schemas"] else T._parse_datatype_string(schema)
-        names = state["tables"].get(table, [])
-        if not names:
-            return self.spark.createDataFrame([], known)
-        df = self.spark.read.format("jdbc").options(url=self.url, dbtable=self.quoted(table), **self.options).load()
-        df = df.toDF(*[c.lower() for c in df.columns]).where(F.col("batch").isin(*names))
-        out = []
-        for f in known.fields:
-            c = F.col(f.name)
-            if isinstance(f.dataType, T.ArrayType):
-                c = F.from_json(c, f.dataType)
-            elif isinstance(f.dataType, T.TimestampType):
-                c = F.timestamp_millis(c)
-            out.append(c.cast(f.dataType).alias(f.name))
-        return df.select(*out)
+        if batch is not None:
+            self.execute(f"DELETE FROM {self.quoted(table)} WHERE {self.batch} = '{self.batch_name(batch)}'")  # of an attempt before
+        return super().folder(df, table, batch, rows_a_file)
 
     def vacuum(self, older_than_ms: int = 0) -> list[str]:
         """Deletes rows of batches that the state doesn't name. Run it while nobody writes: a batch's age isn't known."""

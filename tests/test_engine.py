@@ -16,8 +16,8 @@ from chronolith.plans import build as build_config
 from chronolith.plans.grouping import group, parse_clause, parse_dimensions
 from chronolith.sources import serve
 from chronolith.sources import series as sources
-from chronolith.sources.jdbc import JdbcStore
 from chronolith.sources.storage import Store
+from chronolith.sources.tables import CatalogStore, JdbcStore
 from chronolith.streaming import ingest as stream
 from chronolith.streaming import transfer
 
@@ -329,3 +329,34 @@ def test_queries_over_http_and_tcp(engine):
         assert a["result"] == [{"n": 190}] and "nonsense" in b["result"]
     finally:
         web.shutdown(), line.shutdown()
+
+
+def test_store_in_a_catalog(spark, tmp_path):
+    spark.sql(f"CREATE DATABASE kept LOCATION '{tmp_path}/kept'")
+    try:
+        files, inside = build(spark, tmp_path / "files"), Engine(spark, CatalogStore(spark, str(tmp_path / "log"), "kept", "parquet"), Settings())
+        inside.register({"a": 60_000, "b": 60_000}, DIMS)
+        for e in (files, inside):
+            e.ingest(points(spark))
+        for q in ("SELECT tid, timestamp, value FROM DataPoint", "SELECT tid, SUM_S(#) AS s FROM Segment GROUP BY tid"):
+            assert sorted(map(tuple, inside.sql(q).collect())) == sorted(map(tuple, files.sql(q).collect()))
+        n = inside.store.segments().count()
+        seg = files.store.segments().drop("gid_bucket")
+        for _ in range(2):  # a stream's batch that comes again
+            inside.store.append_segments(seg, "stream-1")
+        assert inside.store.segments().count() == n + seg.count()
+    finally:
+        spark.sql("DROP DATABASE kept CASCADE")
+
+
+def test_scans_are_kept_for_the_next_query(spark, tmp_path):
+    e = build(spark, tmp_path / "s")
+    e.cache_scans = True
+    e.ingest(points(spark))
+    q = "SELECT tid, count(*) AS n FROM DataPoint WHERE tid = 1 GROUP BY tid"
+    first = e.sql(q).collect()
+    again = e.sql(q)
+    assert again.collect() == first and "InMemoryTableScan" in plan_of(again)
+    assert "InMemoryTableScan" in plan_of(e.sql("SELECT max(value) FROM DataPoint WHERE tid = 1"))
+    e.ingest(points(spark).withColumn("timestamp", F.col("timestamp") + F.expr("INTERVAL '30' DAY")))
+    assert e.sql(q).first()["n"] == 2 * first[0]["n"]
