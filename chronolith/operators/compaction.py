@@ -53,9 +53,11 @@ def fingerprint() -> "F.Column":
 
 
 def resolved(segments: DataFrame) -> DataFrame:
-    """(record columns, copies, file_name): every record once, in the first by name of the files that hold it, with the number
-    of rows that held it. Null fields equal null fields."""
-    return records(segments).groupBy(*KEY).agg(F.count(F.lit(1)).alias("copies"), F.min("file_name").alias("file_name"))
+    """(record columns, copies, file): every record once, in one of the files that hold it (by the lowest hash of their names, a
+    number that aggregates without sorting), with the number of rows that held it. Null fields equal null fields, rows of no
+    file stand in one of their own."""
+    file = F.xxhash64(F.coalesce(F.col("file_name"), F.lit("")))
+    return records(segments).groupBy(*KEY).agg(F.count(F.lit(1)).alias("copies"), F.min(file).alias("file"))
 
 
 def scheduled(rec: DataFrame, target_bytes: int) -> tuple[DataFrame, dict]:
@@ -70,7 +72,7 @@ def scheduled(rec: DataFrame, target_bytes: int) -> tuple[DataFrame, dict]:
     total = rec.agg(F.sum(row_bytes)).first()[0] or 0
     groups = max(1, -(-total // target_bytes))
     bundles = max(BUNDLES, BUNDLES_A_GROUP * groups)
-    bundle = F.pmod(F.xxhash64(F.coalesce(F.col("file_name"), F.lit(""))), F.lit(bundles)).cast("int")
+    bundle = F.pmod(F.col("file"), F.lit(bundles)).cast("int")
     got = rec.groupBy(bundle.alias("bundle")).agg(F.sum(row_bytes).alias("w")).toArrow()
     items: dict[tuple[int, int], int] = {}
     for b, w in zip(got["bundle"].to_pylist(), got["w"].to_pylist()):
