@@ -156,7 +156,7 @@ def test_output_files_are_the_balanced_groups(spark, tmp_path):
 
 def test_failed_check_publishes_nothing(spark, tmp_path, monkeypatch):
     df = segment_frame(spark, [(1, 0, 1, 2, b"a", None, "f")])
-    monkeypatch.setattr(compaction, "resolved", lambda s: compaction.records(s).where("false").withColumn("copies", F.lit(1).cast("long")))
+    monkeypatch.setattr(compaction, "resolved", lambda s: compaction.records(s).where("false").withColumns({"copies": F.lit(1).cast("long"), "file": F.lit(1).cast("long")}))
     with pytest.raises(RuntimeError):
         compaction.compact(df, spark.createDataFrame([], "file_name string, n_bytes long"), str(tmp_path / "o"))
     assert not os.path.exists(tmp_path / "o" / "_manifest.json")
