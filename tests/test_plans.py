@@ -87,6 +87,7 @@ def test_needs_of_series_and_columns(spark):
     n = needed(spark, "tid = 2 AND region LIKE 'A%'")
     assert len([p for p in n.about if "2" in p or "A" in p]) >= 2 and n.columns is not None and "value" not in n.columns
     assert "value" in needed(spark, "value > 3").columns
+    assert needed(spark, "d.tid = e.tid", "DataPoint d, other e").about in ([], ["(tid = 1)"], ["(`tid` = 1)"])
 
 
 def test_renamed_tables():
