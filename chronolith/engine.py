@@ -17,6 +17,7 @@ from chronolith.functions.calendar import LEVELS, piece_aggregates, pieces
 from chronolith.models.types import assign_mtids, user_types
 from chronolith.operators.compress import align, encode
 from chronolith.operators.generator import Settings
+from chronolith.operators.readings import with_source
 from chronolith.plans import narrow, rewrite
 from chronolith.plans.grouping import Clause, Dimensions, group
 from chronolith.plans.narrow import Need
@@ -58,7 +59,8 @@ class Engine:
     def ingest(self, points: DataFrame, mode: str = "strict") -> None:
         """Appends points (source, timestamp, value) of registered sources."""
         meta = self.store.series().select("source", "tid", "gid", F.col("sampling_interval").alias("si"), "scaling_factor")
-        self.store.append_segments(encode(align(points.join(meta, "source"), mode), self.settings), rows_a_file=self.batch_size)
+        groups = meta.groupBy("gid").agg(F.array_sort(F.collect_list("tid")).alias("tids"))
+        self.store.append_segments(encode(align(with_source(points, meta, "source"), mode), self.settings, groups), rows_a_file=self.batch_size)
 
     def views(self) -> Views:
         series = self.store.series()

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from chronolith.models.types import user_types
 from chronolith.operators import vectorised
 from chronolith.operators.generator import Settings, compress, pack_gaps, stored, use
+from chronolith.operators.readings import BROADCAST_ROWS
 from chronolith.session import millis
 
 STATS = "array<struct<tid:int,low:float,high:float,total:double>>"
@@ -39,16 +40,17 @@ def align(points: DataFrame, mode: str = "strict") -> DataFrame:
     return p.groupBy("tid", "gid", "si", slot.alias("ts_ms")).agg(F.max_by(value, F.col("ts_ms")).alias("value"))
 
 
-def encode(points: DataFrame, settings: Settings, chunk_ticks: int = CHUNK_TICKS) -> DataFrame:
-    """Stored segments of aligned points (tid, gid, si, ts_ms, value). A series' members are those of its group in
-    ``points``; a (tid, ts_ms) that stands twice counts once."""
+def encode(points: DataFrame, settings: Settings, groups: DataFrame | None = None, chunk_ticks: int = CHUNK_TICKS) -> DataFrame:
+    """Stored segments of aligned points (tid, gid, si, ts_ms, value). ``groups`` (gid, tids) has the members of each group in
+    order, by default those in ``points``; a (tid, ts_ms) that stands twice counts once. Members are sent to the workers once,
+    as long as the groups are as few as a broadcast allows, else with each row."""
 
     classes = user_types(settings.models)
 
     def fit(pdf: pd.DataFrame) -> pd.DataFrame:
         swing = use(settings.models, classes)
         gid, si = int(pdf["gid"].iloc[0]), int(pdf["si"].iloc[0])
-        group = tuple(int(t) for t in pdf["tids"].iloc[0])
+        group = tuple(int(t) for t in (members.value[gid] if members else pdf["tids"].iloc[0]))
         at = {t: k for k, t in enumerate(group)}
         ticks: dict[int, list] = {}
         for tid, ts, v in zip(pdf["tid"].tolist(), pdf["ts_ms"].tolist(), pdf["value"].tolist()):
@@ -58,7 +60,7 @@ def encode(points: DataFrame, settings: Settings, chunk_ticks: int = CHUNK_TICKS
 
     def fit_fast(t: pa.Table) -> pa.Table:
         gid, si = t["gid"][0].as_py(), t["si"][0].as_py()
-        group = np.array(t["tids"][0].as_py())
+        group = np.array(members.value[gid] if members else t["tids"][0].as_py())
         when, tick = np.unique(t["ts_ms"].to_numpy(), return_inverse=True)
         v = np.full((len(when), len(group)), np.nan)
         v[tick, np.searchsorted(group, t["tid"].to_numpy())] = t["value"].to_numpy()
@@ -74,9 +76,12 @@ def encode(points: DataFrame, settings: Settings, chunk_ticks: int = CHUNK_TICKS
             pa.ListArray.from_arrays(edges, stats), pa.array([True] * n)]
         return pa.table(cols, names=[c.split()[0] for c in RAW.split(", ")])
 
-    groups = points.groupBy("gid").agg(F.array_sort(F.collect_set("tid")).alias("tids"))
+    if groups is None:
+        groups = points.groupBy("gid").agg(F.array_sort(F.collect_set("tid")).alias("tids"))
     chunk = F.floor(F.col("ts_ms") / (F.col("si").cast("long") * chunk_ticks))
-    rows = points.join(groups, "gid").withColumn("chunk", chunk).groupBy("gid", "chunk")
+    few = groups.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    members = points.sparkSession.sparkContext.broadcast({r["gid"]: r["tids"] for r in groups.toLocalIterator()}) if few else None
+    rows = (points if few else points.join(groups, "gid")).withColumn("chunk", chunk).groupBy("gid", "chunk")
     made = rows.applyInArrow(fit_fast, RAW) if vectorised.applies(settings) else rows.applyInPandas(fit, RAW)
     return made.withColumns({c: F.timestamp_millis(c) for c in ("start_time", "end_time")})
 
