@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import os
+import sys
 import tempfile
 import uuid
 
@@ -42,7 +43,7 @@ def shared_dir(spark: SparkSession) -> str:
         known = spark.sparkContext._jsc.sc().getCheckpointDir()
         d = known.get() if known.isDefined() else None
     if not d:
-        if not spark.sparkContext.master.startswith("local["):
+        if spark.sparkContext.master != "local" and not spark.sparkContext.master.startswith("local["):
             raise RuntimeError("on a cluster spark.checkpoint.dir must name a folder that all executors share")
         d = "file://" + tempfile.mkdtemp(prefix="chronolith-")
         spark.sparkContext.setCheckpointDir(d)
@@ -59,12 +60,19 @@ def written(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     if not _scratch:
-        atexit.register(release)
+        atexit.register(at_exit)
     _scratch.setdefault(spark.sparkContext.applicationId, []).append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def at_exit() -> None:
+    try:
+        release()
+    except Exception as e:  # noqa: BLE001 - the JVM may be gone before
+        print(f"tables in the shared folder are left: {e}", file=sys.stderr)
+
+
 def release(spark: SparkSession | None = None) -> int:
     """Deletes the tables that ``written`` has made in this application, whose results must no longer be read; runs by itself
     when the process ends. Returns their number."""

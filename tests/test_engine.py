@@ -1,5 +1,6 @@
 import gzip
 import json
+import os
 import socket
 import urllib.parse
 import urllib.request
@@ -7,6 +8,7 @@ import urllib.request
 import pytest
 from pyspark.sql import functions as F
 
+from chronolith import session
 from chronolith.engine import Engine
 from chronolith.models.types import REGISTRY, Uncompressed, register_model
 from chronolith.operators import temporal
@@ -360,3 +362,14 @@ def test_scans_are_kept_for_the_next_query(spark, tmp_path):
     assert "InMemoryTableScan" in plan_of(e.sql("SELECT max(value) FROM DataPoint WHERE tid = 1"))
     e.ingest(points(spark).withColumn("timestamp", F.col("timestamp") + F.expr("INTERVAL '30' DAY")))
     assert e.sql(q).first()["n"] == 2 * first[0]["n"]
+
+
+def test_lineage_tables_go(spark):
+    df = session.written(spark.range(3).toDF("x"), "gone")
+    path = df.inputFiles()[0].removeprefix("file://").rsplit("/", 1)[0]
+    assert df.count() == 3 and os.path.exists(path)
+    mine = session._scratch[spark.sparkContext.applicationId]
+    others = [p for p in mine if not p.endswith(path.rsplit("/", 1)[-1])]
+    mine[:] = [p for p in mine if p not in others]  # other tests' engines stay
+    assert session.release(spark) == 1 and not os.path.exists(path)
+    session._scratch[spark.sparkContext.applicationId] = others

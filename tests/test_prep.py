@@ -242,3 +242,15 @@ def test_held_spike_of_a_still_source(held):
     v = np.where(np.arange(140) // 14 % 2, 29.44, 24.22) + rng.choice([0, 0.01], 140)
     v[62 : 62 + held] = 47.7
     assert np.flatnonzero(spikes.spikes(np.zeros(140, np.int64), np.arange(140) * 60_000, v)[0]).tolist() == list(range(62, 62 + held))
+
+
+def test_implausible_without_rows_limits_or_series(spark):
+    rng = np.random.default_rng(5)
+    rows = [(7, k * 1000, float(x)) for k, x in enumerate(rng.normal(0, 1, 300))] + [(None, 5, 1.0), (7, None, 1.0), (7, 50_000, None)]
+    rows[120] = (7, 120_000, 40.0)
+    df = readings_frame(spark, rows)
+    series, limits = spark.createDataFrame([(7, "m"), (7, "m"), (None, "m")], "tid int, measure string"), spark.createDataFrame([("m", None, None), (None, 0.0, 1.0)], "measure string, low double, high double")
+    for s, l in ((series, limits), (series.where("false"), limits), (series, limits.where("false"))):
+        got = spikes.implausible(df, s, l, 100).collect()
+        assert [(r["tid"], r["ts_ms"], r["impossible"], r["spike"], r["stuck"]) for r in got] == [(7, 120_000, False, True, False)]
+    assert spikes.implausible(df.where("false"), series, limits).count() == 0
