@@ -7,7 +7,7 @@ error bound 0 equal those of the raw rows.
 from __future__ import annotations
 
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterable
 from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
@@ -17,6 +17,7 @@ from chronolith.engine import Engine
 from chronolith.functions.calendar import FUNCTIONS, LEVELS
 from chronolith.operators import temporal
 from chronolith.operators.generator import Settings
+from chronolith.plans import rewrite
 from chronolith.plans.grouping import Dimension, Dimensions, parse_clause
 from chronolith.session import shared_dir, utc
 from chronolith.sources.storage import Store
@@ -37,14 +38,26 @@ SETS = {
 }
 #: Whole days since 1995-01-01 in each dialect.
 DAYS = {"spark": "datediff(o_orderdate, date '1995-01-01')", "duck": "datediff('day', date '1995-01-01', o_orderdate::date)"}
+TABLES = {t for tables, _, _, _ in SETS.values() for t in tables}
 _engines: dict[tuple, Engine] = {}
 
 
-def raw(spark: SparkSession, d: str, name: str) -> DataFrame:
-    tables, sql, _, _ = SETS[name]
+def register(spark: SparkSession, d: str, tables: Iterable[str]) -> None:
+    """Views of the folder's tables, in place of those of another folder."""
     for t in tables:
         df = utc(spark).read.parquet(f"{d}/{t}.parquet")
         df.select(*[F.col(c).cast("timestamp").alias(c) if k == "timestamp_ntz" else F.col(c) for c, k in df.dtypes]).createOrReplaceTempView(t)
+
+
+def named(query: str) -> set[str]:
+    """The test tables that stand in a query beside the engine's views; a column of such a name after a comma counts, too."""
+    ts = rewrite.tokens(query)
+    return TABLES & {t.text.lower() for n, t in enumerate(ts) if t.kind == "word" and rewrite.after(ts, n)}
+
+
+def raw(spark: SparkSession, d: str, name: str) -> DataFrame:
+    tables, sql, _, _ = SETS[name]
+    register(spark, d, tables)
     return spark.sql(sql.replace("DATEDIFF_DAYS", DAYS["spark"]))
 
 
@@ -79,6 +92,8 @@ SQL: dict[str, str] = {}
 def add(name: str, data: str, query: str | Callable[[Engine], DataFrame], oracle: str | None, **options) -> None:
     def run(spark: SparkSession, d: str) -> DataFrame:
         e = engine(spark, d, data, **options)
+        if isinstance(query, str):
+            register(e.spark, d, named(query))
         return e.sql(query) if isinstance(query, str) else query(e)
 
     QUERIES[name] = run

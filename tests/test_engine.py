@@ -15,6 +15,7 @@ from chronolith.operators import temporal
 from chronolith.operators.compress import align
 from chronolith.operators.generator import Settings
 from chronolith.plans import build as build_config
+from chronolith.plans import engine_queries
 from chronolith.plans.grouping import group, parse_clause, parse_dimensions
 from chronolith.sources import serve
 from chronolith.sources import series as sources
@@ -373,3 +374,14 @@ def test_lineage_tables_go(spark):
     mine[:] = [p for p in mine if p not in others]  # other tests' engines stay
     assert session.release(spark) == 1 and not os.path.exists(path)
     session._scratch[spark.sparkContext.applicationId] = others
+
+
+def test_queries_read_the_tables_of_their_folder(spark, tmp_path):
+    for d, regions in (("a", ["X", "Y"]), ("b", ["Z"])):
+        rows = [("A", "F", k, float(k + len(regions))) for k in range(5)]
+        spark.createDataFrame(rows, "l_returnflag string, l_linestatus string, k int, l_quantity double").selectExpr("*", "cast(date_add(date '1995-01-01', k) as timestamp_ntz) as l_shipdate").write.parquet(f"{tmp_path}/{d}/lineitem.parquet")
+        spark.createDataFrame(list(enumerate(regions)), "r_regionkey int, r_name string").write.parquet(f"{tmp_path}/{d}/region.parquet")
+    spark.catalog.dropTempView("region")  # another test's
+    for d, want in (("a", [("X", 6.0), ("Y", 6.0)]), ("b", [("Z", 5.0)]), ("a", [("X", 6.0), ("Y", 6.0)])):
+        got = engine_queries.QUERIES["dp_join_cross"](spark, f"{tmp_path}/{d}")
+        assert sorted(map(tuple, got.collect())) == want
